@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,48 @@ def split_words(text: str) -> list[str]:
     if not OTHER_SPACE.search(text):
         return text.split()
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+
+
+def remainder(id_col: str, by: int) -> Column:
+    """crc32 of the id as text, modulo `by`; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(by))
+
+
+def array_parts(arrays: list[np.ndarray], part: int, slice_rows: int = 1 << 12):
+    """Arrays of one length in slices, a row each, for sum_parts()."""
+    for k, at in enumerate(range(0, len(arrays[0]), slice_rows)):
+        own = np.concatenate([np.ascontiguousarray(a[at : at + slice_rows], np.float64).ravel() for a in arrays])
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([k], pa.int64()), pa.array([zlib.compress(own.astype("<f8").tobytes(), 1)], pa.binary())], names=["part", "slice", "data"])
+
+
+PARTS = "part long, slice long, data binary"
+
+
+def sum_parts(rows: DataFrame, parts: int, fan: int = 32) -> DataFrame:
+    """Sums by slice of what array_parts() gave in each of `parts` tasks. At most `fan` arrays meet in a task."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table["data"]:
+            own = np.frombuffer(zlib.decompress(x.as_py()), "<f8")
+            total = own.copy() if total is None else np.add(total, own, out=total)
+        return pa.table({"part": table["part"].slice(0, 1), "slice": table["slice"].slice(0, 1), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    while True:
+        parts = -(-parts // fan)
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan).cast("long")).groupBy("slice", "part").applyInArrow(fold, PARTS)
+        if parts <= 1:
+            return rows
+
+
+def summed(rows: DataFrame, parts: int, widths: list[int], length: int, slice_rows: int = 1 << 12) -> list[np.ndarray]:
+    """The summed arrays on the driver; widths and length fix their size, whatever the input's."""
+    out = [np.zeros((length, w)) for w in widths]
+    for row in sum_parts(rows, parts).toLocalIterator():
+        at, n = row["slice"] * slice_rows, min(slice_rows, length - row["slice"] * slice_rows)
+        data, done = np.frombuffer(zlib.decompress(row["data"]), "<f8"), 0
+        for a, w in zip(out, widths):
+            a[at : at + n] = data[done : done + n * w].reshape(n, w)
+            done += n * w
+    return out
