@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,27 @@ GAP = r"[\x20\x09-\x0D]+"
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their workers need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="voltlake-")) / "voltlake.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """df.mapInArrow, with this package at hand. columns: those of df that come before the schema's."""
+    ship(df.sparkSession)
+    fields = ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in columns or ()] + [schema])
+    return df.mapInArrow(run, fields)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

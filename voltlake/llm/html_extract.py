@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 #: Element names of the HTML standard, and words that class names and ids use.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp")
@@ -294,9 +294,7 @@ def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
             texts = [main_text(x.as_py()) for x in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
 
-    rows = df.select(*columns, F.col(html_col))
-    fields = "".join(f"`{c}` {k}, " for c, k in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{fields}text string, n_chars long")
+    return map_arrow(df.select(*columns, F.col(html_col)), run, "text string, n_chars long", columns)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

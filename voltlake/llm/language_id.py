@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PARTS, array_parts, cut, read, remainder, summed
+from .common import PARTS, array_parts, cut, map_arrow, read, remainder, summed
 
 DIM, ORDERS, SAMPLE_ROWS, LEAST_ROWS, EPOCHS = 1 << 15, (1, 2, 3), 4000, 50, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
@@ -159,7 +159,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             for part in array_parts([df_counts], TaskContext.get().partitionId()):
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.nulls(1, k) for k in kinds)], names=["part", "slice", "data", "lang", "aside", "at", "grams", "counts"])
 
-    found = cut(picked.mapInArrow(run, PARTS + ", lang string, aside boolean, at long, grams binary, counts binary"), "grams")
+    found = cut(map_arrow(picked, run, PARTS + ", lang string, aside boolean, at long, grams binary, counts binary"), "grams")
     (frequency,) = summed(found.where("data is not null").select("part", "slice", "data"), rows.rdd.getNumPartitions(), [1], DIM)
     total = sum(counts.values())
     blank = Model(langs, np.zeros((DIM + 1, len(langs))), np.log((1 + total) / (1 + frequency[:, 0])) + 1)
@@ -174,19 +174,19 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(langs, weights.astype(np.float32), blank.idf, fit_temperature(logits, np.array([y for _, _, y in aside], int)))
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score, from the text alone. The model's size is fixed by DIM and the languages."""
-    columns = [c for c in df.columns if c not in ("lang_pred", "score")]
-    at, shared = columns.index(text_col), df.sparkSession.sparkContext.broadcast(model)
+def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) with lang_pred and score, from the text alone. The model's size is fixed
+    by DIM and the languages."""
+    keep = [c for c in keep or df.columns if c not in ("lang_pred", "score")]
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         predict = shared.value.predict
         for batch in batches:
-            found = [predict(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
+            found = [predict(x.as_py()) for x in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return df.select(*columns).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return map_arrow(df.select(*keep, F.col(text_col).alias("__text")), run, "lang_pred string, score double", keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -196,4 +196,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])

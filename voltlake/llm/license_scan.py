@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 #: Licence notices as commonly written in documents and source headers.
 TEMPLATES = (
@@ -116,28 +116,26 @@ class Matcher:
         return out
 
 
-def scan_licenses(df: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """df with license_id (best match or null), its dice and line_no, and n_matches: how many licences match."""
-    columns = [c for c in df.columns if c not in ("license_id", "dice", "line_no", "n_matches")]
-    at = columns.index(text_col)
+def scan_licenses(df: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) with license_id (best match or null), its dice and line_no, and n_matches: how many licences match."""
+    keep = [c for c in keep or df.columns if c not in ("license_id", "dice", "line_no", "n_matches")]
 
     def run(batches):
         matcher = Matcher(templates, threshold)
         for batch in batches:
             best = []
-            for text in batch.column(at):
+            for text in batch.column(len(keep)):
                 found = matcher.scan(text.as_py())
                 c, line, name = min(((-c, line, name) for c, line, name in found), default=(None, None, None))
                 best.append((name, None if c is None else -c, line, len({x[2] for x in found})))
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in best], k) for i, k in enumerate(kinds))], names=[*columns, "license_id", "dice", "line_no", "n_matches"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[i] for x in best], k) for i, k in enumerate(kinds))], names=[*keep, "license_id", "dice", "line_no", "n_matches"])
 
-    fields = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return df.select(*columns).mapInArrow(run, f"{fields}, license_id string, dice double, line_no long, n_matches long")
+    return map_arrow(df.select(*keep, F.col(text_col).alias("__text")), run, "license_id string, dice double, line_no long, n_matches long", keep)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan_licenses(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "license_id", F.round("dice", 9).alias("dice"), "line_no", "n_matches")
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, cut, read
+from .common import SPACE_BYTES, cut, map_arrow, read
 
 MIN_CHARS, MIN_BITS, MAX_BITS, SLICE, MERGE = 10, 20, 27, 1 << 15, 64
 NO_ID = (1 << 63) - 1
@@ -92,7 +92,7 @@ def suspected(df: DataFrame, text_col: str, bits: int, least: int) -> bytes:
 
     schema = "slice long, part long, once binary, twice binary"
     texts = df.select(F.col(text_col).cast("binary"))
-    parts, merged = texts.rdd.getNumPartitions(), texts.mapInArrow(run, schema)
+    parts, merged = texts.rdd.getNumPartitions(), map_arrow(texts, run, schema)
     while True:  # at most MERGE filters meet in a task, however many tasks there are
         parts = -(-parts // MERGE)
         merged = merged.groupBy("slice", "part").applyInArrow(_fold, schema)
@@ -122,7 +122,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(keys, pa.binary()), pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary())], names=["holder", "key", "digest"])
 
     holder = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    suspects = cut(df.select(holder.alias("holder"), F.col(text_col).cast("binary")).mapInArrow(probe, "holder long, key binary, digest binary"), "suspects")
+    suspects = cut(map_arrow(df.select(holder.alias("holder"), F.col(text_col).cast("binary")), probe, "holder long, key binary, digest binary"), "suspects")
     owners = cut(suspects.groupBy("key").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first < last").select("key", "first"), "owners")
     drops = suspects.join(owners, "key").where("holder <> first").groupBy("holder").agg(F.collect_set("digest").alias("__drops"))
     columns, at = df.columns, df.columns.index(text_col)
@@ -142,8 +142,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
     joined = df.withColumn("__holder", holder).join(drops.withColumnRenamed("holder", "__holder"), "__holder", "left").select(*columns, "__drops")
-    fields = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return joined.mapInArrow(rebuild, f"{fields}, n_lines long, n_dropped long")
+    return map_arrow(joined, rebuild, "n_lines long, n_dropped long", columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PARTS, array_parts, cut, lower_ascii, read, remainder, split_words, summed
+from .common import PARTS, array_parts, cut, lower_ascii, map_arrow, read, remainder, split_words, summed
 
 CLASSES, SYMBOLS, STATES, WINDOW, BATCH = 512, 1 << 15, 8, 64, 2048
 HEAD = SYMBOLS - CLASSES - 1
@@ -65,7 +65,7 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
                     yield rows()
         yield rows()
 
-    return df.select(text_col).mapInArrow(run, "h long, cls int, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
+    return map_arrow(df.select(text_col), run, "h long, cls int, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -135,9 +135,7 @@ def encode(df: DataFrame, vocab: Vocabulary, text_col: str) -> DataFrame:
             tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([h for _, t in found for h in t], pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s, _ in found], pa.binary()), tail], names=[*columns, "symbols", "tail"])
 
-    rows = df.select(*columns, text_col)
-    fields = "".join(f"`{c}` {k}, " for c, k in rows.dtypes[:-1])
-    return rows.mapInArrow(run, fields + "symbols binary, tail array<bigint>")
+    return map_arrow(df.select(*columns, text_col), run, "symbols binary, tail array<bigint>", columns)
 
 
 # --- the model
@@ -278,7 +276,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
             if total is not None:
                 yield from array_parts([total], TaskContext.get().partitionId())
 
-        (total,) = summed(texts.mapInArrow(run, PARTS), texts.rdd.getNumPartitions(), [STATES], ROWS)
+        (total,) = summed(map_arrow(texts, run, PARTS), texts.rdd.getNumPartitions(), [STATES], ROWS)
         model = Model.from_counts(total, base)
         shared.unpersist()
     return model
@@ -303,9 +301,7 @@ def score(encoded: DataFrame, model: Model, vocab: Vocabulary) -> DataFrame:
             more = [np.array([len(t) for t in texts], np.int64), np.array([known[t].sum() for t in texts], np.int64), np.array([head[t].sum() for t in texts], float), logs]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, more)], names=[*columns, "n_tokens", "n_head", "head_logs", "model_score"])
 
-    rows = encoded.select(*columns, "symbols")
-    fields = "".join(f"`{c}` {k}, " for c, k in rows.dtypes[:-1])
-    return rows.mapInArrow(run, fields + "n_tokens long, n_head long, head_logs double, model_score double")
+    return map_arrow(encoded.select(*columns, "symbols"), run, "n_tokens long, n_head long, head_logs double, model_score double", columns)
 
 
 def score_documents(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, map_arrow, read
 
 CAPACITY, END_ID, SLACK, LEAF_ROWS, FAN = 1024, 2, 8, 65_536, 8
 _encoders: dict[str, object] = {}
@@ -56,7 +56,6 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per piece: id_col, piece, start, length, ids_crc32, and with_ids the ids themselves."""
     vocabulary = vocabulary or default_vocabulary()
-    kind = dict(df.dtypes)[id_col]
 
     def run(batches):
         encode = encoder(vocabulary).encode_ordinary
@@ -72,8 +71,8 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
             yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["d", "p", "s", "l", "c", "i"][: 5 + with_ids])
 
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return map_arrow(df.select(F.col(id_col), F.col(text_col)), run, schema, [id_col])
 
 
 def best_fit(fills: np.ndarray, names: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, map_arrow, read
 
 SHINGLE, SEED, RADIUS, TILE_ROWS, BLOCK = 4, 42, 4, 8192, 256
 NO_ID = (1 << 63) - 1
@@ -52,18 +52,16 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """df with the 64-bit fingerprint of text_col as a signed long, `__fp`."""
-    columns = [c for c in df.columns if c != "__fp"]
-    at = columns.index(text_col)
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all by default) with the 64-bit fingerprint of text_col as a signed long, `__fp`."""
+    keep = [c for c in keep or df.columns if c != "__fp"]
 
     def run(batches):
         for batch in batches:
-            found = np.fromiter((simhash(x.as_py(), shingle) for x in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*columns, "__fp"])
+            found = np.fromiter((simhash(x.as_py(), shingle) for x in batch.column(len(keep))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*keep, "__fp"])
 
-    fields = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return df.select(*columns).mapInArrow(run, f"{fields}, __fp long")
+    return map_arrow(df.select(*keep, F.col(text_col).alias("__text")), run, "__fp long", keep)
 
 
 def link_forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +151,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """id_col, `__fp` and component_id of each row of df: the smallest id within reach."""
-    docs = cut(fingerprints(df.select(id_col, text_col), text_col, shingle).select(F.col(id_col), "__fp"), "fingerprints")
+    docs = cut(fingerprints(df, text_col, shingle, [id_col]), "fingerprints")
     holder = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     distinct = cut(docs.groupBy(F.col("__fp").alias("fp")).agg(F.min(holder).alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), radius, tile_rows))
