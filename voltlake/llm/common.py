@@ -47,8 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends, a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends, a lost executor costs nothing.
+    rows: at most how many; a file holds 100,000 of them or so, not a few."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 100_000)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

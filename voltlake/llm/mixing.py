@@ -10,7 +10,7 @@ from the rate that meets the words alone. Rates are rounded to whole copies alon
 rates are rounded, so a source is off by less than its longest document), then single copies mend what is left.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; documents without words
-take none; equal documents are told apart by a row number; columns named size, source_size, target, copies, taken
+take none; rows with equal ids, sources and sizes are taken alike; columns named size, source_size, target, copies, taken
 are replaced; an empty table gives no rows.
 """
 
@@ -69,45 +69,52 @@ def balance(classes: DataFrame, goals: DataFrame, cap: float, length_shift: floa
     return dual.select("sid", "a", "b")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, weights=WEIGHTS, cap: int = CAP, length_shift: float = 0.0, salts: int = SALTS) -> DataFrame:
-    """The columns `keep` of df (all by default) with size, source_size, target, copies and taken = copies * size."""
-    keep = [c for c in keep or df.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    carried = F.struct(*keep).alias("__kept")
-    rows = cut(df.select(carried, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.monotonically_increasing_id().alias("row")), "rows")
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, cap: int = CAP, length_shift: float = 0.0, salts: int = SALTS) -> DataFrame:
+    """df with size (the words of text_col, or `size`), source_size, target, copies and taken = copies * size."""
+    size = word_count(text_col) if size is None else size
+    pick = F.xxhash64(id_col)
+    keys = {"__source": F.col(source_col), "__size": size, "__salt": F.pmod(pick, F.lit(salts)).cast("int"), "__pick": pick}
+    rows = cut(df.select(*(v.alias(k[2:]) for k, v in keys.items())), "rows")
     counts = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap), "goals")
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
-    salted = rows.groupBy("source", "size", salt).agg(F.count("*").alias("n"))
+    salted = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     named = goals.select(F.col("source").alias("__source"), "sid", "source_size")
     salted = cut(salted.join(named, F.col("source").eqNullSafe(F.col("__source"))).select("sid", "size", "salt", "n", "source_size"), "salted")
     classes = salted.groupBy("sid", "size").agg(F.sum("n").alias("n"))
     log = F.log(F.greatest("size", F.lit(1)))
     mean = classes.groupBy("sid").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * log), F.sum(F.col("n") * F.col("size"))).alias("mean"))
-    classes = cut(classes.join(mean, "sid").withColumn("z", log - F.coalesce("mean", F.lit(0.0))).drop("mean"), "classes")
+    classes = cut(classes.join(mean, "sid").withColumn("z", log - F.coalesce("mean", F.lit(0.0))).drop("mean"), "classes", salted.count())
+    n_classes = classes.count()
     dual = balance(classes, goals, cap, length_shift)
 
     rate = F.coalesce(F.least(F.lit(float(cap)), F.exp(F.col("a") + F.col("b") * F.col("z"))), F.lit(0.0))
     upto = F.sum(F.col("n") * F.col("r")).over(Window.partitionBy("sid").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0))
     rounded = classes.join(dual, "sid", "left").withColumn("r", rate).withColumn("c", upto)
     k = F.floor(F.col("c") + PHASE) - F.floor(F.col("c") - F.col("n") * F.col("r") + PHASE)
-    chosen = cut(rounded.select("sid", "size", "n", F.greatest(F.lit(0), F.least(cap * F.col("n"), k)).cast("long").alias("k")), "chosen")
+    chosen = cut(rounded.select("sid", "size", "n", F.greatest(F.lit(0), F.least(cap * F.col("n"), k)).cast("long").alias("k")), "chosen", n_classes)
     goal = goals.select("sid", "target")
     for _ in range(MENDS):  # one copy more or less of one document whose length is nearest to what a source is off
         left = chosen.groupBy("sid").agg(F.sum(F.col("k") * F.col("size")).alias("got")).join(goal, "sid").select("sid", (F.col("target") - F.col("got")).alias("left"))
         can = F.when(F.col("left") > 0, F.col("k") < cap * F.col("n")).otherwise(F.col("k") > 0)
         near = F.abs(F.abs(F.col("left")) - F.col("size"))
         best = chosen.join(left, "sid").where(can & (near < F.abs(F.col("left")))).groupBy("sid").agg(F.min_by(F.struct("size", F.signum("left").cast("long").alias("by")), F.struct(near, F.col("size"))).alias("best")).select("sid", "best.size", "best.by")
-        chosen = cut(chosen.join(best, ["sid", "size"], "left").select("sid", "size", "n", (F.col("k") + F.coalesce("by", F.lit(0))).alias("k")), "chosen")
+        chosen = cut(chosen.join(best, ["sid", "size"], "left").select("sid", "size", "n", (F.col("k") + F.coalesce("by", F.lit(0))).alias("k")), "chosen", n_classes)
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sid", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = salted.withColumn("before", before).join(chosen.select("sid", "size", F.floor(F.col("k") / F.col("n")).alias("base"), (F.col("k") % F.col("n")).alias("extra")), ["sid", "size"])
-    plan = cut(plan.join(goals.select("sid", F.col("source").alias("__source"), "target"), "sid").select("__source", F.col("size").alias("__size"), F.col("salt").alias("__salt"), "source_size", "target", "before", "base", "extra"), "plan")
-    joined = rows.withColumn("salt", salt).join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("salt") == F.col("__salt")))
-    # the k copies of a class: `base` of each document, one more of the first `extra` by salt, hash and row
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("id"), "id", "row")) + F.col("before")
-    copies = F.col("base") + F.when(rank <= F.col("extra"), 1).otherwise(0)
-    out = joined.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("__kept.*", "size", "source_size", "target", "copies", "taken")
+    plan = plan.join(goals.select("sid", "source", "target"), "sid").withColumn("here", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before"))))
+    # the k copies of a class: `base` of each document, one more of the first `extra` by salt and hash
+    some = plan.where((F.col("here") > 0) & (F.col("here") < F.col("n"))).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("t"), "here")
+    rank = F.row_number().over(Window.partitionBy("s", "z", "t").orderBy("pick"))
+    last = rows.join(some, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("t"))).withColumn("rank", rank)
+    last = last.where("rank = here").select("s", "z", "t", F.col("pick").alias("last"))
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("t")), "left")
+    upto_pick = F.when(F.col("here") == 0, F.lit(None)).when(F.col("here") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("last"))
+    plan = cut(plan.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("salt").alias("__t"), F.col("source_size").alias("__all"), F.col("target").alias("__goal"), F.col("base").alias("__base"), upto_pick.alias("__last")), "plan")
+    joined = df.withColumns(keys).join(plan.hint("merge"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__salt") == F.col("__t")))
+    copies = (F.col("__base") + F.when(F.col("__pick") <= F.col("__last"), 1).otherwise(0)).cast("int")
+    put = {"size": F.col("__size"), "source_size": F.col("__all"), "target": F.col("__goal"), "copies": copies, "taken": copies * F.col("__size")}
+    return joined.withColumns(put).select(*(c for c in df.columns if c not in put), *put)
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,5 +123,5 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    docs = cut(read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

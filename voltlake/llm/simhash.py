@@ -133,16 +133,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) of each node with a link; root: the smallest node reachable. Large-star and small-star rounds."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    before = None
+    before, n = None, 2 * edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, name)
+        large = cut(large, name, n)
         tops = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(tops, "u")
         edges = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut(edges, name)
+        edges = cut(edges, name, n)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -156,17 +156,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = cut(docs.groupBy(F.col("__fp").alias("fp")).agg(F.min(holder).alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), radius, tile_rows))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    groups = cut(rooted, "rooted")
+    n = distinct.count()
+    groups = cut(rooted, "rooted", n)
     least = groups.groupBy("root").agg(F.min("first").alias("least"))
-    named = cut(groups.join(least, "root").select(F.col("fp").alias("__fp"), F.nullif("least", F.lit(NO_ID)).alias("component_id")), "components")
+    named = cut(groups.join(least, "root").select(F.col("fp").alias("__fp"), F.nullif("least", F.lit(NO_ID)).alias("component_id")), "components", n)
     return docs.join(named, "__fp").select(id_col, "__fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of df whose id is the smallest of their group; one row of those with equal ids."""
-    keep = near_duplicates(df, id_col, text_col, radius, shingle).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    rows = df.alias("d").join(keep.select(F.col(id_col).alias("__keep")), F.col(f"d.{id_col}").eqNullSafe(F.col("__keep")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    found = near_duplicates(df, id_col, text_col, radius, shingle)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    # one shuffle of the texts serves the join and the choice among rows with equal ids
+    return df.withColumn("__key", key).join(keep.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
