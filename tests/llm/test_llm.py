@@ -200,6 +200,30 @@ def test_fingerprints(spark, some):
     assert fingerprints.with_next(empty(spark).select("doc_id", "text"), "doc_id", "text", {"sketch": fingerprints.sketch(F.col("text"))}).count() == 0
 
 
+def test_sketch_hashes(spark, some):
+    from pyspark.sql import functions as F
+
+    def slow(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+        def chained(ws):
+            h = 42
+            for x in ws:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            return signed(h)
+
+        hashes = {chained(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {chained(w)} if w else set()
+        low = {h for h in hashes if h < -(1 << 63) + (1 << 64) // 8}
+        return sorted(low or ([min(hashes)] if hashes else []))
+
+    df = docs(spark, some + [(500, "one two", "en", "s", 0, 1, "x")])
+    rows = df.select("text", fingerprints.sketch(F.col("text")).alias("sketch")).collect()
+    assert all(r["sketch"] == slow(r["text"]) for r in rows)
+    pair = spark.createDataFrame([([1, 2, 3], [2, 3, 4, 5])], "a array<bigint>, b array<bigint>")
+    assert tuple(pair.select(fingerprints.likeness(F.col("a"), F.col("b")), fingerprints.containment(F.col("a"), F.col("b"))).first()) == (2 / 5, 2 / 3)
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.choice(WORDS[:5] if i % 2 else WORDS[5:], 12)), "de" if i % 2 else "en") for i in range(400)] + [(900, None, "de"), (901, "12 % 3", "en"), (902, "und nicht das", None)]
@@ -234,14 +258,92 @@ def test_quality(spark, some):
 
 
 def test_pipeline(spark, some, tmp_path):
+    """Each stage in plain Python; the mix, whose choice is free, by its constraints, and packing by an exact round trip."""
+    pytest.importorskip("tokenizers")
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    df = docs(spark, [r for r in some if r[0] is not None]).select(*corpus_pipeline.COLUMNS)
+    rows = [r[:5] for r in some if r[0] is not None and r[0] != 200]
+    rows += [(250, some[0][1].upper(), "en", "s0", 0), (251, some[3][1].replace("\n", " \n"), "en", "s9", 0)]
+    rows += [(300 + i, " ".join(f"w{j}{'***' if i < 30 else ''}" for j in range(i, i + 20)), "en", "s4", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
-    assert ids and not ids & {201, 202, 203} and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
+    labels = spark.createDataFrame([(300 + i, int(i >= 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    # quality: the learned terms, tried on statistics counted here
+    def rejected(text, rules):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        grams, covered = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
+        for i in range(len(w) - 4):
+            if grams[tuple(w[i : i + 5])] > 1:
+                covered.update(range(i, i + 5))
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        if len(w) < 10 or 100 * len(covered) > 20 * len(w):
+            return True
+        x = {"words": len(w), "word_length": sum(map(len, w)) / len(w), "symbols_per_word": len(re.findall(r"[#*$%&|<>]", text)) / len(w), "dup_line_share": (len(lines) - len(set(lines))) / len(lines), "repeat_share": len(covered) / len(w)}
+        return any(all(x[t.feature] > t.value if t.above else x[t.feature] <= t.value for t in rule) for rule in rules)
+
+    rules = quality.learn(quality.with_stats(df), labels)
+    kept = {r[0]: (r[1], r[3]) for r in rows if not rejected(r[1], rules)}
+    assert rules and not kept.keys() & {*range(300, 330), 201, 202, 203} and kept.keys() >= {*range(330, 360)}
+
+    # line dedup
+    key = lambda x: x.strip(" \t\n\v\f\r").encode().lower().decode()
+    holders = {}
+    for i, (text, _) in kept.items():
+        for x in text.split("\n"):
+            holders.setdefault(key(x), set()).add(i)
+    clean = {i: ("\n".join(x for x in text.split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == i), s) for i, (text, s) in kept.items()}
+
+    # near duplicates: groups by all pairs
+    fp, root = {i: simhash.simhash(text) for i, (text, _) in clean.items()}, {i: i for i in clean}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in clean:
+        for j in clean:
+            if i < j and (fp[i] ^ fp[j]).bit_count() <= 4 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    left = {i: v for i, v in clean.items() if find(i) == i}
+
+    # the mix, read off the packed pieces, and the pieces of all its copies
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = Counter(r["doc_id"] for r in out if r["piece"] == 0)
+    assert copies.keys() <= left.keys() and max(copies.values()) <= 3
+    pieces = Counter()
+    for i, n in copies.items():
+        ids = np.array([*t.encode(left[i][0], add_special_tokens=False).ids, 2], "<u4")
+        for k, (s, m) in enumerate(packing.piece_bounds(len(ids), 1024)):
+            pieces[i, k, s, m, zlib.crc32(ids[s : s + m].tobytes())] += n
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == pieces
+    size, got, most = Counter(), Counter(), Counter()
+    for i, (text, source) in left.items():
+        n = len(text.encode().split())
+        size[source] += n
+        got[source] += n * copies[i]
+        most[source] = max(most[source], n)
+    names, capped = sorted(size, key=lambda x: (x is None, x or "")), set()
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    while True:
+        share = (sum(size.values()) - sum(3 * size[s] for s in capped)) / max(1, sum(weight[s] for s in names if s not in capped))
+        goal = {s: 3 * size[s] if s in capped else share * weight[s] for s in names}
+        over = {s for s in names if s not in capped and goal[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert all(abs(got[s] - goal[s]) <= most[s] for s in names)
+
+    # sequences without gaps
+    filled = {}
+    for r in sorted(out, key=lambda r: r["offset"]):
+        assert filled.get(r["sequence_id"], 0) == r["offset"]
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 1024
 
 
 def test_registered():
