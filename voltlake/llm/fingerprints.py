@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import let, read, words
 
 SHINGLE, SCALE, PART_ROWS = 5, 8, 2000
+#: Ranges of ids at most (beyond, a range grows and its sort spills), and ids sampled a range to place their bounds.
+MAX_PARTS, PART_SAMPLE = 16_384, 128
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
@@ -56,10 +58,13 @@ def encoded(hashes: Column) -> Column:
 
 def with_next(df: DataFrame, id_col: str, text_col: str, extra: dict, part_rows: int = PART_ROWS) -> DataFrame:
     """id, text, `extra` and next: a struct of text and extra of the row after it by id; the first after the last.
-    One shuffle: rows go to ranges of ids, and the first row of a range to the range before too."""
+    One shuffle: rows go to ranges of ids, and the first row of a range to the range before too. The bounds are ids of
+    a sample by hash, MAX_PARTS at most whatever the table's size; any bounds give the same result."""
     n = df.count()
-    parts = max(1, n // part_rows)
-    least, found = df.agg(F.min(id_col), F.percentile_approx(id_col, [i / parts for i in range(parts)], 100_000)).first()
+    parts = min(MAX_PARTS, max(1, n // part_rows))
+    unit = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
+    picked = F.when(unit < PART_SAMPLE * parts / max(1, n), F.col(id_col))
+    least, found = df.agg(F.min(id_col), F.percentile_approx(picked, [i / parts for i in range(parts)], 100_000)).first()
     firsts = sorted({least, *(found or [])} - {None})
     last, top = max(0, len(firsts) - 1), 1 << max(0, len(firsts) - 1).bit_length()
     bounds = F.array(*map(F.lit, firsts)) if firsts else F.lit(None).cast("array<bigint>")
