@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import kurtosis_sample, numeric, require_columns, skew_sample
+from .ordered import over_order
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,16 @@ class RollingConfig:
 def rolling_statistics(df: DataFrame, signals: list[str], order: list[str], entity: list[str] | None = None, config: RollingConfig = RollingConfig()) -> DataFrame:
     """mean, std, variance, rms, skewness, kurtosis, min, max and range of trailing rows of each signal.
 
-    All share one window, so one sort. Without `entity` the frame runs over the order of the whole table in one task,
-    and windows cross entities; that is meant for parity on small tables."""
+    All share one window, so one sort. Without `entity` the frame runs over the order of the whole table, in blocks,
+    and windows cross entities."""
     require_columns(df, [*signals, *order, *(entity or [])])
-    base = (Window.partitionBy(*entity) if entity else Window.partitionBy()).orderBy(*order)
-    frame, new = base.rowsBetween(1 - config.window, 0), {}
+    if entity:
+        return _rolling(df, Window.partitionBy(*entity).orderBy(*order), signals, config)
+    return over_order(df, order, config.window - 1, lambda rows, by: _rolling(rows, by, signals, config))
+
+
+def _rolling(df: DataFrame, by: WindowSpec, signals: list[str], config: RollingConfig) -> DataFrame:
+    frame, new = by.rowsBetween(1 - config.window, 0), {}
     for s in signals:
         x = numeric(s)
         enough = F.count(x).over(frame) >= config.min_periods

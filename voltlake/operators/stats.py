@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import kurtosis_sample, numeric, seconds, skew_sample
+from .ordered import over_order
 
 AGGREGATIONS = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5)), "min": F.min, "max": F.max, "std": F.stddev_samp}
 
@@ -23,19 +24,21 @@ def aggregate_system(df: DataFrame, feature: str, timestamp: str, aggregation: s
 
 def temporal_statistics(series: DataFrame, timestamp: str, value: str = "value", window: int = 4) -> DataFrame:
     """Of a system series: moments, steps, ramps by the first step's seconds, autocorrelations, rolling spread."""
-    by = Window.orderBy(timestamp)
-    frame = by.rowsBetween(1 - window, 0)
-    x = F.col(value)
-    rows = series.select(F.col(timestamp), x, (x - F.lag(x).over(by)).alias("d"), F.lag(x, 1).over(by).alias("x1"), F.lag(x, 4).over(by).alias("x4"), F.when(F.count(x).over(frame) >= window, F.stddev_samp(x).over(frame)).alias("s"), F.nth_value(seconds(F.col(timestamp)), 2).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("t2"), F.first(seconds(F.col(timestamp))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("t1"))
-    step = F.max(F.col("t2") - F.col("t1"))
+    x, t = F.col(value), seconds(F.col(timestamp))
+
+    def steps(rows: DataFrame, by: WindowSpec) -> DataFrame:
+        frame = by.rowsBetween(1 - window, 0)
+        return rows.withColumns({"d": x - F.lag(x).over(by), "gap": t - F.lag(t).over(by), "x1": F.lag(x, 1).over(by), "x4": F.lag(x, 4).over(by), "s": F.when(F.count(x).over(frame) >= window, F.stddev_samp(x).over(frame))})
+
+    rows = over_order(series.select(timestamp, value), [timestamp], max(4, window - 1), steps)
+    step = F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col(timestamp)))  # the first one
     return rows.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(F.abs("d")).alias("mean_abs_change"), F.max(F.abs("d")).alias("max_abs_change"), (F.avg(F.abs("d")) / step).alias("mean_abs_ramp"), (F.max(F.abs("d")) / step).alias("max_abs_ramp"), F.corr(x, "x1").alias("acf_1"), F.corr(x, "x4").alias("acf_4"), F.avg("s").alias("rolling_std_mean"), F.max("s").alias("rolling_std_max"))
 
 
 def autocorrelation(series: DataFrame, timestamp: str, value: str = "value", lags: int = 24) -> DataFrame:
     """(lag, acf): Pearson correlation of the overlap, lags from 0."""
-    by = Window.orderBy(timestamp)
     x = F.col(value)
-    rows = series.select(x, *(F.lag(x, k).over(by).alias(f"l{k}") for k in range(lags + 1)))
+    rows = over_order(series.select(timestamp, value), [timestamp], lags, lambda rows, by: rows.withColumns({f"l{k}": F.lag(x, k).over(by) for k in range(lags + 1)}))
     return rows.agg(F.array(*(F.struct(F.lit(k).alias("lag"), F.corr(x, f"l{k}").alias("acf")) for k in range(lags + 1))).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
@@ -55,19 +58,26 @@ def daily_pivot(series: DataFrame, timestamp: str, value: str = "value", dates:
 
 def ramp_rate(series: DataFrame, timestamp: str, value: str = "value", entity: list[str] | None = None) -> DataFrame:
     """Change a second from each row's predecessor; first rows are left out."""
-    by = Window.partitionBy(*(entity or [])).orderBy(timestamp)
-    gap = seconds(F.col(timestamp)) - seconds(F.lag(timestamp).over(by))
-    change = F.col(value) - F.lag(value).over(by)
-    return series.withColumns({"seconds": gap, "change": change}).where("seconds is not null").withColumn("ramp", F.try_divide("change", "seconds"))
+
+    def steps(rows: DataFrame, by: WindowSpec) -> DataFrame:
+        gap = seconds(F.col(timestamp)) - seconds(F.lag(timestamp).over(by))
+        return rows.withColumns({"seconds": gap, "change": F.col(value) - F.lag(value).over(by)})
+
+    rows = steps(series, Window.partitionBy(*entity).orderBy(timestamp)) if entity else over_order(series, [timestamp], 1, steps)
+    return rows.where("seconds is not null").withColumn("ramp", F.try_divide("change", "seconds"))
 
 
 def rolling_mean_std(series: DataFrame, timestamp: str, value: str = "value", window: int = 4, entity: list[str] | None = None) -> DataFrame:
     """Of full windows only."""
     if window < 2:
         raise ValueError("window must be 2 at least")
-    frame = Window.partitionBy(*(entity or [])).orderBy(timestamp).rowsBetween(1 - window, 0)
-    full = F.count(value).over(frame) >= window
-    return series.withColumns({"rolling_mean": F.when(full, F.avg(value).over(frame)), "rolling_std": F.when(full, F.stddev_samp(value).over(frame))})
+
+    def rolled(rows: DataFrame, by: WindowSpec) -> DataFrame:
+        frame = by.rowsBetween(1 - window, 0)
+        full = F.count(value).over(frame) >= window
+        return rows.withColumns({"rolling_mean": F.when(full, F.avg(value).over(frame)), "rolling_std": F.when(full, F.stddev_samp(value).over(frame))})
+
+    return rolled(series, Window.partitionBy(*entity).orderBy(timestamp)) if entity else over_order(series, [timestamp], window - 1, rolled)
 
 
 def distribution_stats(df: DataFrame, columns: list[str]) -> DataFrame:
