@@ -32,16 +32,24 @@ def default_vocabulary() -> str:
 
 
 def encoder(path: str):
-    """The byte-level BPE of a rank file; its ids are those of the same vocabulary in byte_bpe_50k.json."""
+    """The byte-level BPE of a rank file; its ids are those of the same vocabulary in the JSON file beside it, whose added
+    tokens are found in texts."""
     if path not in _encoders:
         import base64
+        import json
+        from pathlib import Path
 
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        beside = Path(path).with_suffix(".json")
+        added = json.loads(beside.read_text(encoding="utf-8"))["added_tokens"] if beside.exists() else []
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are matched as they are only")
+        special = {x["content"]: x["id"] for x in added}
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -58,11 +66,12 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        own = encoder(vocabulary)
+        added = own.special_tokens_set
         for batch in batches:
             rows, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                tokens = np.array([*encode(text.as_py() or ""), end_id], "<u4")
+                tokens = np.array([*own.encode(text.as_py() or "", allowed_special=added, disallowed_special=()), end_id], "<u4")
                 for k, (s, n) in enumerate(piece_bounds(len(tokens), capacity)):
                     part = tokens[s : s + n]
                     rows.append(i), pieces.append(k), starts.append(s), lengths.append(n), crcs.append(zlib.crc32(part.tobytes()))
