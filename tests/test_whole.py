@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from voltlake import queries
+from voltlake.operators import graph
 
 DIR = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not DIR.exists(), reason="no test tables")
@@ -44,3 +45,31 @@ def test_added_tokens_in_texts(spark):
         assert (50256 in ids) == (mark in text)
         want |= {(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.piece_bounds(len(ids), packing.CAPACITY))}
     assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out} == want
+
+
+def _path(spark, names):
+    return graph.edges(spark.createDataFrame([(int(a), int(b)) for a, b in zip(names, names[1:])], "a long, b long"), ("a", "b"))
+
+
+@pytest.mark.parametrize("kind", ["from both ends", "random"])
+def test_components_of_long_feeders(spark, kind):
+    n = 200
+    names = np.random.default_rng(1).permutation(n).tolist() if kind == "random" else [*range(0, n, 2), *range(n - 1, 0, -2)]
+    other = graph.edges(spark.createDataFrame([(1000, 1001)], "a long, b long"), ("a", "b"))
+    got = {r["node"]: r["component"] for r in graph.connected_components(_path(spark, names).union(other)).collect()}
+    assert got == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000}
+
+
+def test_closeness_beyond_64_hops(spark):
+    n = 70
+    got = {r["node"]: r["closeness_centrality"] for r in graph.closeness(_path(spark, list(range(n)))).collect()}
+    assert got == pytest.approx({i: (n - 1) / sum(abs(i - j) for j in range(n)) for i in range(n)})
+
+
+def test_centralities_on_executors(spark, monkeypatch):
+    g = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 0), (2, 4), (5, 6)], "src long, dst long")
+    read = lambda: (sorted(map(tuple, graph.node_features(g).collect())), sorted(map(tuple, graph.edge_features(g).collect())))
+    want = read()
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 3)
+    for a, b in zip(read(), want):
+        assert len(a) == len(b) and all(x == pytest.approx(y) for x, y in zip(a, b))

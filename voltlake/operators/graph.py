@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, ship
 
 #: Largest graph whose centralities are computed on the driver; larger ones go source by source on the executors.
 DRIVER_EDGES = 1_000_000
@@ -70,19 +71,20 @@ def pagerank(graph: DataFrame, damping: float = 0.85, iterations: int = 20) -> D
     return ranks
 
 
-def connected_components(graph: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node within reach; label spreading with jumps, cut each round."""
-    links = checkpointed(both_ways(graph))
-    labels = checkpointed(nodes(graph).withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = links.join(labels, links["src"] == labels["node"]).groupBy(links["dst"].alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("now"))
-        jump = new.select(F.col("node").alias("now"), F.col("now").alias("far"))
-        new = checkpointed(new.join(jump, "now").select("node", "component", "far"))
-        labels = new.select("node", F.col("far").alias("component"))
-        if new.where("component <> far").isEmpty():
-            break
-    return labels
+def connected_components(graph: DataFrame) -> DataFrame:
+    """(node, component): the smallest node within reach. Large-star and small-star rounds until nothing changes, cut twice each."""
+    links = checkpointed(graph.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        links = checkpointed(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if now == before:
+            return nodes(graph).join(links, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+        before = now
 
 
 # --- centralities over shortest paths and eigenvectors
@@ -144,35 +146,63 @@ def _pagerank(near: list[list[int]], damping: float = 0.85, rounds: int = 100, t
     return x
 
 
-def centralities(pairs: list[tuple[int, int]], more: list[int] = ()) -> tuple[dict[int, dict[str, float]], dict[tuple[int, int], float]]:
-    """Centralities of nodes, and edge betweenness, of a small graph."""
-    names, near = _adjacency(pairs, more)
-    n = len(names)
-    between, close, on_edge = np.zeros(n), np.zeros(n), {}
-    for s in range(n):
+def _from_sources(near: list[list[int]], sources: list[int]) -> tuple[np.ndarray, dict[int, float], dict[tuple[int, int], float]]:
+    """Summed dependencies of nodes and edges, and the closeness of each source."""
+    n = len(near)
+    between, close, on_edge = np.zeros(n), {}, {}
+    for s in sources:
         dep, edge, distance = _from_source(near, s)
         between += dep
         for k, v in edge.items():
             on_edge[k] = on_edge.get(k, 0.0) + v
         reach = [d for d in distance if d > 0]
         close[s] = (len(reach) / sum(reach)) * (len(reach) / (n - 1)) if reach and n > 1 else 0.0
+    return between, close, on_edge
+
+
+def _on_executors(spark: SparkSession, near: list[list[int]]) -> tuple[np.ndarray, dict[int, float], dict[tuple[int, int], float]]:
+    """_from_sources() of all nodes: each executor holds the graph, the sources are dealt out."""
+    ship(spark)
+    n, shared = len(near), spark.sparkContext.broadcast(near)
+
+    def run(batches):
+        for df in batches:
+            between, close, on_edge = _from_sources(shared.value, df["id"].tolist())
+            yield pd.DataFrame([(0, i, -1, float(between[i])) for i in np.flatnonzero(between).tolist()] + [(1, i, -1, v) for i, v in close.items()] + [(2, a, b, v) for (a, b), v in on_edge.items()], columns=["kind", "a", "b", "value"])
+
+    parts = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    rows = spark.range(0, n, 1, parts).mapInPandas(run, "kind int, a long, b long, value double").groupBy("kind", "a", "b").agg(F.sum("value").alias("value"))
+    between, close, on_edge = np.zeros(n), {}, {}
+    for r in rows.toLocalIterator():
+        if r["kind"] == 0:
+            between[r["a"]] = r["value"]
+        elif r["kind"] == 1:
+            close[r["a"]] = r["value"]
+        else:
+            on_edge[r["a"], r["b"]] = r["value"]
+    return between, close, on_edge
+
+
+def centralities(pairs: list[tuple[int, int]], more: list[int] = (), spark: SparkSession | None = None) -> tuple[dict[int, dict[str, float]], dict[tuple[int, int], float]]:
+    """Centralities of nodes, and edge betweenness; the paths from each source on the executors if spark is given."""
+    names, near = _adjacency(pairs, more)
+    n = len(names)
+    between, close, on_edge = _on_executors(spark, near) if spark else _from_sources(near, range(n))
     eigen, rank = _eigenvector([np.array(a, int) for a in near]), _pagerank([np.array(a, int) for a in near])
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     of = {x: {"node_degree": len(near[i]), "betweenness_centrality": float(between[i] * scale), "closeness_centrality": float(close[i]), "eigenvector_centrality": float(eigen[i]), "pagerank": float(rank[i])} for i, x in enumerate(names)}
     return of, {(names[a], names[b]): v / (n * (n - 1)) for (a, b), v in on_edge.items()}
 
 
-def small_pairs(graph: DataFrame) -> list[tuple[int, int]]:
-    rows = graph.select("src", "dst").limit(DRIVER_EDGES + 1).collect()
-    if len(rows) > DRIVER_EDGES:
-        raise ValueError("too many edges for the driver; use shortest_paths(), pagerank() and connected_components()")
-    return [(r["src"], r["dst"]) for r in rows]
+def _centralities_of(graph: DataFrame, more: list[int] = ()) -> tuple[dict[int, dict[str, float]], dict[tuple[int, int], float]]:
+    pairs = [(r["src"], r["dst"]) for r in graph.select("src", "dst").toLocalIterator()]
+    return centralities(pairs, more, graph.sparkSession if len(pairs) > DRIVER_EDGES else None)
 
 
 def node_features(graph: DataFrame, more: list[int] = ()) -> DataFrame:
-    """All node centralities of a graph of at most DRIVER_EDGES edges."""
+    """All node centralities. The driver holds the edges; over DRIVER_EDGES of them, the executors do the work of each source."""
     spark: SparkSession = graph.sparkSession
-    of, _ = centralities(small_pairs(graph), more)
+    of, _ = _centralities_of(graph, more)
     found = spark.createDataFrame([(k, *(float(x) for x in list(v.values())[1:])) for k, v in of.items()], "node long, betweenness_centrality double, closeness_centrality double, eigenvector_centrality double, pagerank double")
     return degrees(graph, found).join(found, "node").join(clustering(graph), "node", "left").withColumn("local_clustering_coefficient", F.coalesce("local_clustering_coefficient", F.lit(0.0)))
 
@@ -180,22 +210,28 @@ def node_features(graph: DataFrame, more: list[int] = ()) -> DataFrame:
 def edge_features(graph: DataFrame) -> DataFrame:
     """(src, dst, degrees of both ends, edge_betweenness_centrality)."""
     spark: SparkSession = graph.sparkSession
-    _, on_edge = centralities(small_pairs(graph))
+    _, on_edge = _centralities_of(graph)
     between = spark.createDataFrame([(a, b, float(v)) for (a, b), v in on_edge.items()], "src long, dst long, edge_betweenness_centrality double")
     d = degrees(graph).select("node", "node_degree")
     return graph.join(d.select(F.col("node").alias("src"), F.col("node_degree").alias("from_bus_degree")), "src").join(d.select(F.col("node").alias("dst"), F.col("node_degree").alias("to_bus_degree")), "dst").join(between, ["src", "dst"]).select("src", "dst", "from_bus_degree", "to_bus_degree", "edge_betweenness_centrality")
 
 
-def closeness(graph: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, closeness_centrality) by breadth-first rounds over (source, node) pairs, on the executors."""
-    links, ids = checkpointed(both_ways(graph)), nodes(graph)
+def closeness(graph: DataFrame) -> DataFrame:
+    """(node, closeness_centrality) by breadth-first rounds over (source, node) pairs, on the executors, until no pair is new. A
+    neighbour of the last round's front is new unless it is in that front or the one before."""
+    links, ids = checkpointed(both_ways(graph)), checkpointed(nodes(graph))
     n = ids.count()
-    seen = checkpointed(ids.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d")))
-    front = seen
-    for k in range(1, rounds + 1):
-        step = checkpointed(front.select("s", "v").join(links, front["v"] == links["src"]).select("s", F.col("dst").alias("v")).distinct().join(seen, ["s", "v"], "left_anti").withColumn("d", F.lit(k)))
+    front = ids.select(F.col("node").alias("s"), F.col("node").alias("v"))
+    last = front.limit(0)
+    sums, k = ids.select(F.col("node").alias("s"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("d")), 0
+    while True:
+        k += 1
+        near = front.join(links, front["v"] == links["src"]).select("s", F.col("dst").alias("v")).distinct()
+        step = checkpointed(near.join(front.union(last), ["s", "v"], "left_anti"))
         if step.isEmpty():
             break
-        seen, front = checkpointed(seen.union(step)), step
-    r = F.count_if(F.col("d") > 0)
-    return seen.groupBy(F.col("s").alias("node")).agg((F.coalesce(F.try_divide(r, F.sum("d")), F.lit(0.0)) * F.try_divide(r, F.lit(n - 1))).alias("closeness_centrality"))
+        found = step.groupBy("s").agg(F.count("*").alias("more"))
+        more = F.coalesce("more", F.lit(0))
+        sums = checkpointed(sums.join(found, "s", "left").select("s", (F.col("r") + more).alias("r"), (F.col("d") + k * more).alias("d")))
+        last, front = front, step
+    return sums.select(F.col("s").alias("node"), (F.coalesce(F.try_divide("r", "d"), F.lit(0.0)) * F.try_divide("r", F.lit(n - 1))).alias("closeness_centrality"))
