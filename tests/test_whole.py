@@ -73,3 +73,11 @@ def test_centralities_on_executors(spark, monkeypatch):
     monkeypatch.setattr(graph, "DRIVER_EDGES", 3)
     for a, b in zip(read(), want):
         assert len(a) == len(b) and all(x == pytest.approx(y) for x, y in zip(a, b))
+
+
+@pytest.mark.skipif(not (DIR.parent / "sf0.1").exists(), reason="no test tables")
+def test_tsne_keeps_all_suppliers(spark):
+    out = queries.QUERIES["tsne_embedding"](spark, str(DIR.parent / "sf0.1")).toPandas()
+    want = pd.read_parquet(DIR.parent / "sf0.1" / "supplier.parquet", columns=["s_suppkey"])
+    assert sorted(out["s_suppkey"]) == sorted(want["s_suppkey"]) and len(out) == 1000
+    assert np.isfinite(out[["x", "y"]].to_numpy()).all()

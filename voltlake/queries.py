@@ -759,7 +759,7 @@ def pca_explained(s, d):
 
 @query()
 def tsne_embedding(s, d):
-    return dimensionality.tsne(_t(s, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("k")), ["s_acctbal", "k"], ["s_suppkey"], rows=300, steps=60)
+    return dimensionality.tsne(_t(s, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("k")), ["s_acctbal", "k"], ["s_suppkey"])
 
 
 @query()
