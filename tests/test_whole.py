@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from voltlake import queries
-from voltlake.operators import graph
+from voltlake.operators import forest, graph, spectral
 
 DIR = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not DIR.exists(), reason="no test tables")
@@ -81,3 +81,16 @@ def test_tsne_keeps_all_suppliers(spark):
     want = pd.read_parquet(DIR.parent / "sf0.1" / "supplier.parquet", columns=["s_suppkey"])
     assert sorted(out["s_suppkey"]) == sorted(want["s_suppkey"]) and len(out) == 1000
     assert np.isfinite(out[["x", "y"]].to_numpy()).all()
+
+
+@needs_tables
+def test_forest_and_spectra_at_the_operators_sizes(spark, monkeypatch):
+    used, fit = [], forest.fit
+    monkeypatch.setattr(forest, "fit", lambda *a, **k: used.append(fit(*a, **k)) or used[-1])
+    assert queries.QUERIES["isolation_forest_scores"](spark, str(DIR)).where("anomaly_score is null").isEmpty()
+    assert len(used[0].trees) == 300
+    events = pd.read_parquet(DIR / "events.parquet", columns=["event_id", "user_id", "ts", "value"]).sort_values(["user_id", "ts"])
+    few = set(events[events.groupby("user_id").cumcount() < spectral.SpectralConfig().min_periods - 1]["event_id"])
+    out = queries.QUERIES["rolling_spectral_features"](spark, str(DIR)).toPandas().set_index("event_id")
+    found = out.notna().any(axis=1)
+    assert 8 < len(few) < len(out) == len(events) and not found[list(few)].any() and found.any()

@@ -716,7 +716,7 @@ def spectral_entropy(s, d):
 @query()
 def rolling_spectral_features(s, d):
     rows = _events(s, d)
-    return _round(spectral.rolling_features(rows, "value", ["user_id"], "ts", spectral.SpectralConfig(32, 8)).drop("ts", "user_id", "value", "event_type"))
+    return _round(spectral.rolling_features(rows, "value", ["user_id"], "ts").drop("ts", "user_id", "value", "event_type"))
 
 
 # --- generators and models
@@ -748,7 +748,7 @@ def profiles_join(s, d):
 @query()
 def isolation_forest_scores(s, d):
     rows = _t(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", *_NUM)
-    model = forest.fit(rows.where(_TRAIN), _NUM, ["l_orderkey", "l_partkey", "l_suppkey"], trees=100)
+    model = forest.fit(rows.where(_TRAIN), _NUM, ["l_orderkey", "l_partkey", "l_suppkey"])
     return _round(model.score(rows).drop(*_NUM))
 
 
