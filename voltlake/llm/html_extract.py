@@ -1,13 +1,16 @@
 """Main text of web pages.
 
 A page is cut into flat text blocks at block-level tags. A block is described by its words and link density, those
-of its neighbours, and what the open tags around it say, and a small decision tree tells text from boilerplate.
-The tree is trained here on a labelled table: blocks of pages that LAYOUTS describes.
+of its neighbours, and what the open tags around it say, and a decision tree tells text from boilerplate. What tags
+say is evidence and no verdict: a class name is weighed against the words and links it encloses and the text of the
+page outside all such names. The tree is trained here on a small labelled table: the blocks of raw pages rendered
+from LAYOUTS with many lengths.
 
 Edge cases: a null or empty page, and one without text, gives an empty text; tags left open or closed twice are
 tolerated (a closing tag closes the nearest such tag, else nothing); comments, scripts and styles left open end with
-the page; character references are decoded once; page ids and other columns may be null or repeated and are passed
-on; columns named text or n_chars are replaced; an empty table gives no rows.
+the page; a quote left open is a character; character references are decoded once; parsing takes time in proportion
+to the page, whatever its tags; page ids and other columns may be null or repeated and are passed on; columns named
+text or n_chars are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,26 +31,34 @@ from .common import map_arrow, read
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("nav aside footer form head button select fieldset menu dialog datalist option".split())
+CHROME = frozenset("nav aside footer head button select fieldset menu dialog datalist option".split())
 #: Chrome elements that don't hold a page's article: one opened within means they were left open, or span the page.
 SHUT = frozenset("nav header footer form button select menu".split())
 MAIN = frozenset("article main".split())
-CHROME_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|ads\d+|adsbygoogle|adv|advert\w*|alerts?|announcements?|banner|breadcrumbs?|byline-links|comments?|commentlist|comment\w*|consent|cookies?|cookie\w*|copyright|disqus|footer|footnav|gdpr|legal|menu|modal|nav|navbar|navigation|newsletter|notices?|notifications?|pagination|pager|popup|promo\w*|reader-?comments|recommended|related|replies|reply|respond|rail|share|sharing|sidebar|side|signup|skip\w*|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widgets?|disclaimer|paywall|overlay|login|search)(?:$|[-_\s])", re.I,
+NAMES = re.compile(
+    r"(?:^|[-_\s])(?:ads?|ads\d+|adsbygoogle|adv|advert\w*|alerts?|announcements?|breadcrumbs?|comments?|commentlist|comment\w*|consent|cookies?|cookie\w*|disqus|footer|footnav|gdpr|menu|modal|nav|navbar|navigation|newsletter|notices?|notifications?|pagination|pager|popup|promo\w*|reader-?comments|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|skip\w*|sponsor\w*|subscribe|subscription|toolbar|topbar|widgets?|paywall|overlay)(?:$|[-_\s])", re.I,
 )
-#: Chrome unless within the main part, which may have a header of its own.
-HEAD_NAMES = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?:$|[-_\s])", re.I)
+#: Names that an article's own parts have too.
+WEAK_NAMES = re.compile(r"(?:^|[-_\s])(?:banner|byline-links|copyright|disclaimer|header|legal|login|masthead|rail|search|side|social|tags)(?:$|[-_\s])", re.I)
 #: Names of a layout, not of what an element holds: has-sidebar, no-comments.
 LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|show|hide)[-_]\S+", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|content|entry|story|post|main|body-?text|article-?body|post-?body|entry-?content|text|prose)(?:$|[-_\s])", re.I)
 CHROME_ROLES = frozenset("navigation banner complementary contentinfo search alert dialog form menu menubar toolbar".split())
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split())
+TEXT_TAGS = frozenset("p li blockquote pre dd dt figcaption h1 h2 h3 h4 h5 h6".split())
 
+_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*(?:>|(?=<)|\Z)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.I | re.S,
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b" + _ATTRS + r"(?:.*?(?:</(?P=raw)[^<>]*(?:>|(?=<)|\Z)|\Z))|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>" + _ATTRS + ")", re.I | re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_chrome", "in_main", "page_has_main", "heading", "hidden")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=|>)", re.I)
+#: Evidence against a block, by the strongest open tag around it.
+PLAIN, WEAK, NAMED, ELEMENT, HIDDEN = range(5)
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "words_around", "link_density_around",
+    "evidence", "region_words", "region_link_density", "plain_share", "main", "page_main", "heading", "text_tag",
+)
 
 
 @dataclass
@@ -55,45 +66,93 @@ class Block:
     text: str
     words: int
     linked: int
-    in_chrome: bool
-    in_main: bool
+    evidence: int
+    region: int  # the outermost element with that evidence, by its number on the page
+    main: int  # 2 within a main element, 1 within one so named
     heading: bool
-    hidden: bool
+    text_tag: bool
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _says(name: str, attrs: str, within_main: bool) -> tuple[bool, bool, bool]:
-    """(chrome, main, hidden) of a tag."""
-    chrome, main, hidden = name in CHROME or name == "header" and not within_main, name in MAIN, False
-    if attrs and "=" in attrs or "hidden" in attrs:
+def _says(name: str, attrs: str, within_main: bool) -> tuple[int, int]:
+    """(evidence, main) of a tag."""
+    evidence = ELEMENT if name in CHROME or name == "header" and not within_main else NAMED if name == "form" else PLAIN
+    main = 2 if name in MAIN else 0
+    if "=" in attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 value = LAYOUT_NAMES.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
-                named = CHROME_NAMES.search(value) or not within_main and HEAD_NAMES.search(value)
-                chrome = chrome or bool(named) and name not in ("body", "html", "main")
-                main = main or bool(MAIN_NAMES.search(value))
+                if name not in ("body", "html", "main"):
+                    if NAMES.search(value):
+                        evidence = max(evidence, NAMED)
+                    elif WEAK_NAMES.search(value):
+                        evidence = max(evidence, WEAK)
+                if MAIN_NAMES.search(value):
+                    main = max(main, 1)
             elif key == "role":
-                chrome, main = chrome or value.lower() in CHROME_ROLES, main or value.lower() in ("main", "article")
-            elif key == "style":
-                hidden = hidden or "display:none" in value.replace(" ", "").lower()
-            elif key == "aria-hidden":
-                hidden = hidden or value.lower() == "true"
-        hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs, re.I))
-    if chrome:
-        main = False
-    return chrome, main, hidden
+                evidence, main = max(evidence, NAMED if value.lower() in CHROME_ROLES else PLAIN), 2 if value.lower() in ("main", "article") else main
+            elif key == "style" and "display:none" in value.replace(" ", "").lower() or key == "aria-hidden" and value.lower() == "true":
+                evidence = HIDDEN
+    if "hidden" in attrs.lower() and _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
+        evidence = HIDDEN
+    return evidence, 0 if evidence >= NAMED else main
+
+
+class _Open:
+    """The open tags, by name and by what they say; each operation takes constant time on average."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, int, int]] = []
+        self.named: dict[str, list[int]] = {}
+        self.evidence: list[list[tuple[int, int]]] = [[] for _ in range(HIDDEN + 1)]  # (place, region number), outermost first
+        self.mains = [0, 0, 0]
+        self.regions = 0
+
+    def push(self, name: str, evidence: int, main: int) -> None:
+        self.named.setdefault(name, []).append(len(self.tags))
+        if evidence:
+            self.regions += 1
+            self.evidence[evidence].append((len(self.tags), self.regions))
+        self.mains[main] += 1
+        self.tags.append((name, evidence, main))
+
+    def pop_to(self, place: int) -> None:
+        while len(self.tags) > place:
+            name, evidence, main = self.tags.pop()
+            self.named[name].pop()
+            self.mains[main] -= 1
+            if evidence and self.evidence[evidence] and self.evidence[evidence][-1][0] == len(self.tags):
+                self.evidence[evidence].pop()
+
+    def close(self, name: str) -> None:
+        if self.named.get(name):
+            self.pop_to(self.named[name][-1])
+
+    def acquit_shut(self) -> None:
+        """An article opened within: what SHUT elements around it say counts no more."""
+        for level in (WEAK, NAMED, ELEMENT):
+            if self.evidence[level]:
+                self.evidence[level] = [x for x in self.evidence[level] if self.tags[x[0]][0] not in SHUT]
+
+    @property
+    def within_main(self) -> int:
+        return 2 if self.mains[2] else 1 if self.mains[1] else 0
+
+    def verdict(self) -> tuple[int, int]:
+        for level in (HIDDEN, ELEMENT, NAMED, WEAK):
+            if self.evidence[level]:
+                return level, self.evidence[level][0][1]
+        return PLAIN, 0
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
-    page, out, parts, linked = page or "", [], [], 0
-    open_tags: list[tuple[str, bool, bool, bool]] = []
-    state = [False, False, False]  # chrome, main, hidden, by any open tag
-    link, heading, at = 0, False, 0
+    page, out, parts, linked, opened = page or "", [], [], 0, _Open()
+    link, at = False, 0
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -109,12 +168,10 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             found = "".join(parts).split()
             if found:
-                out.append(Block(" ".join(found), len(found), min(linked, len(found)), state[0], state[1], heading, state[2]))
+                own = opened.tags[-1][0] if opened.tags else ""
+                out.append(Block(" ".join(found), len(found), min(linked, len(found)), *opened.verdict(), opened.within_main, own[0:1] == "h" and own[1:].isdigit(), own in TEXT_TAGS))
             parts, linked = [], 0
 
-    def settle() -> None:
-        state[:] = [any(t[k] for t in open_tags) for k in (1, 2, 3)]
-
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
@@ -128,35 +185,24 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if name == "a":
-            link = 0 if m["close"] else 1
+            link = not m["close"]
             continue
         if name in INLINE and name != "label":
             continue
         flush()
-        if name[0] == "h" and name[1:] in ("1", "2", "3", "4", "5", "6"):
-            heading = not m["close"]
         if m["close"]:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    del open_tags[k:]
-                    settle()
-                    break
+            opened.close(name)
             continue
         if name in BREAKS_P:
-            heading = name[0] == "h" and name[1:].isdigit()
-            link = 0
-            if open_tags and open_tags[-1][0] == "p":
-                open_tags.pop()
-                settle()
-        if name in VOID or m["attrs"].endswith("/") and name not in BREAKS_P:
+            link = False
+            if opened.tags and opened.tags[-1][0] == "p":
+                opened.pop_to(len(opened.tags) - 1)
+        attrs = m["attrs"].rstrip(">")
+        if name in VOID or attrs.endswith("/") and name not in BREAKS_P:
             continue
         if name in MAIN:
-            open_tags = [(t, False, *more) if t in SHUT else (t, c, *more) for t, c, *more in open_tags]
-            settle()
-        says = _says(name, m["attrs"], state[1])
-        open_tags.append((name, *says))
-        if any(says):
-            settle()
+            opened.acquit_shut()
+        opened.push(name, *_says(name, attrs, opened.within_main > 0))
     text(page[at:])
     flush()
     return out
@@ -164,9 +210,22 @@ def blocks(page: str | None) -> list[Block]:
 
 def describe(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block."""
-    has_main, none = any(b.in_main for b in found), (0, 0.0)
-    near = [none, *((b.words, b.density) for b in found), none]
-    return np.array([[b.words, b.density, *near[i], *near[i + 2], b.in_chrome, b.in_main, has_main, b.heading, b.hidden] for i, b in enumerate(found)], float).reshape(len(found), len(FEATURES))
+    near = [(0, 0.0)] * 2 + [(b.words, b.density) for b in found] + [(0, 0.0)] * 2
+    regions: dict[int, list[int]] = {0: [0, 0]}
+    for b in found:
+        if b.evidence:
+            own = regions.setdefault(b.region, [0, 0])
+            own[0] += b.words
+            own[1] += b.linked
+    plain = sum(b.words for b in found if not b.evidence) / max(1, sum(b.words for b in found))
+    page_main = max((b.main for b in found if b.evidence < NAMED), default=0)
+    rows = []
+    for i, b in enumerate(found):
+        around = near[i : i + 2] + near[i + 3 : i + 5]
+        words = sum(w for w, _ in around)
+        region, region_linked = regions[b.region if b.evidence else 0]
+        rows.append((b.words, b.density, *near[i + 1], *near[i + 3], words, sum(w * d for w, d in around) / max(1, words), b.evidence, region, region_linked / max(1, region), plain, b.main, page_main, b.heading, b.text_tag))
+    return np.array(rows, float).reshape(len(found), len(FEATURES))
 
 
 # --- the tree
@@ -181,7 +240,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 10) -> Node:
     """A tree by Gini impurity; cuts lie halfway between values."""
     keep = float(y.mean()) if len(y) else 0.0
     best = (1e-9, -1, 0.0)
@@ -217,58 +276,75 @@ def decide(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-# --- the labelled table: each layout is a list of (html with {} for words, words, keep)
+# --- the labelled table: parts are (html with {} for words, fewest words, most words, keep)
 
 _LINKS = "".join('<li><a href="/{0}">{{}}</a></li>'.format(i) for i in range(4))
-_P = ("<p>{}</p>", 45, True)
-_SHORT = ("<p>{}</p>", 3, True)
-_ARTICLE = [("<h1>{}</h1>", 7, True), _P, _SHORT, ("<p>{} <a href='/x'>{}</a> {}</p>", 20, True), ("<h2>{}</h2>", 2, True), _P, ("<ul><li>{}</li></ul>", 6, True), ("<blockquote>{}</blockquote>", 15, True), ("<p>{}</p>", 1, True), ("<p><a href='/y'>{}</a></p>", 4, True)]
+_TITLE, _P, _SHORT = ("<h1>{}</h1>", 2, 14, True), ("<p>{}</p>", 20, 90, True), ("<p>{}</p>", 1, 8, True)
+_ARTICLE = [
+    _TITLE, _P, _SHORT, ("<p>{} <a href='/x'>{}</a> {}</p>", 4, 20, True), ("<h2>{}</h2>", 1, 8, True), _P, _SHORT, ("<ul><li>{}</li><li>{}</li></ul>", 1, 15, True), ("<blockquote>{}</blockquote>", 4, 30, True),
+    ("<p><a href='/y'>{}</a></p>", 1, 8, True), ("<figure><figcaption>{}</figcaption></figure>", 2, 14, True), ("<p class='legal'>{}</p>", 12, 60, True), ("<table><tr><td>{}</td><td>{}</td></tr></table>", 1, 6, True),
+    ("<div class='side-story'><p>{}</p><p>{}</p></div>", 20, 60, True), _P,
+]
+_MENU, _FOOT, _AD = ("<nav><ul>" + _LINKS + "</ul></nav>", 1, 3, False), ("<footer>&copy; {}</footer>", 2, 30, False), ("<div class='ad'>{}</div>", 1, 30, False)
+_COMMENTS = ("<section class='comments'><h3>{}</h3><p>{}</p><div class='comment'><p>{}</p></div></section>", 1, 60, False)
 _CHROME = [
-    ("<nav><ul>" + _LINKS + "</ul></nav>", 1, False), ("<div class='ad'>{}</div>", 8, False), ("<div class='cookie-notice'><p>{}</p></div>", 25, False),
-    ("<footer>&copy; {}</footer>", 12, False), ("<aside><h3>{}</h3><p>{}</p></aside>", 18, False), ("<form><label>{}</label><button>{}</button></form>", 3, False),
-    ("<header class='site-header'><p>{}</p></header>", 5, False), ("<div id='sidebar'><p>{}</p></div>", 30, False), ("<section class='comments'><p>{}</p><div class='comment'><p>{}</p></div></section>", 40, False),
-    ("<div class='newsletter-signup'>{}</div>", 14, False), ("<div role='alert'>{}</div>", 16, False),
+    _MENU, _AD, ("<div class='cookie-notice'><p>{}</p></div>", 5, 40, False), _FOOT, ("<aside><h3>{}</h3><p>{}</p></aside>", 2, 40, False), ("<form><label>{}</label><button>{}</button></form>", 1, 6, False), ("<header class='site-header'><p>{}</p></header>", 1, 10, False),
+    ("<div id='sidebar'><h3>{}</h3><p>{}</p></div>", 3, 50, False), _COMMENTS, ("<div class='newsletter-signup'>{}</div>", 3, 25, False), ("<div role='alert'>{}</div>", 3, 25, False), ("<div class='related'><ul>" + _LINKS + "</ul></div>", 2, 9, False),
+    ("<div class='share'><a href='/s'>{}</a></div>", 1, 3, False), ("<div class='social'>{}</div>", 1, 6, False), ("<div class='legal'><p>{}</p></div>", 5, 40, False), ("<p hidden>{}</p>", 3, 40, False), ("<div style='display:none'>{}</div>", 3, 40, False),
 ]
-_OUTSIDE = [("<div><p>{}</p></div>", 30, False), ("<div>{}</div>", 4, False), ("<div>{}</div>", 50, False), ("<p>{}</p>", 12, False), ("<h3>{}</h3>", 3, False)]
-_BARE = [("<div>{}</div>", 60, True), ("<div>{}</div>", 50, True), ("<div>{}</div>", 35, True)]
-_BARE_CHROME = [("<div><a href='/a'>{}</a> <a href='/b'>{}</a></div>", 2, False), ("<div>{}</div>", 3, False), ("<table><tr><td><a href='/c'>{}</a></td></tr></table>", 3, False)]
-#: (before, within, after, wrapper): pages whose main part is marked, some with chrome inside it, and pages of plain blocks.
+_OUTSIDE = [("<div><p>{}</p></div>", 5, 40, False), ("<div>{}</div>", 1, 8, False), ("<div>{}</div>", 20, 60, False), ("<p>{}</p>", 3, 20, False), ("<h3>{}</h3>", 1, 6, False)]
+#: Pages without any marked part: only words, links and neighbours tell.
+_BARE_LINKS = [("<div><a href='/a'>{}</a> <a href='/b'>{}</a> <a href='/c'>{}</a></div>", 1, 3, False), ("<ul>" + _LINKS + "</ul>", 1, 4, False), ("<table><tr><td><a href='/c'>{}</a></td><td><a href='/d'>{}</a></td></tr></table>", 1, 4, False), ("<div><a href='/l'>{}</a></div>", 4, 25, False)]
+_BARE_SMALL = ("<div>{}</div>", 1, 8, False)
+_BARE_DIVS = [("<div>{}</div>", 25, 90, True), ("<div>{}</div>", 2, 8, True), ("<div>{}</div>", 25, 90, True), ("<div>{}</div>", 18, 60, True)]
+_BARE_TEXT = [_TITLE, ("<p>{}</p>", 8, 30, True), _SHORT, _P, ("<h2>{}</h2>", 1, 6, True), _P, _SHORT]
+#: (before, within, after, wrapper).
 LAYOUTS = [
-    (_CHROME[:2], _ARTICLE, _CHROME[3:4], "<article>{}</article>"),
-    (_CHROME[:3], _ARTICLE[::-1], _CHROME[4:9], "<main>{}</main>"),
-    (_CHROME[6:8], [*_ARTICLE[:4], _CHROME[1], *_ARTICLE[4:], _CHROME[8]], _CHROME[9:], "<article class='post'>{}</article>"),
-    (_CHROME[2:5], [*_ARTICLE, _CHROME[5], _CHROME[10]], _CHROME[3:4], "<div id='content'>{}</div>"),
-    (_CHROME[5:], [_P, _SHORT, _CHROME[4], _P, _CHROME[9]], _CHROME[:5], "<div class='entry-content'>{}</div>"),
+    ([_MENU, _AD], _ARTICLE, [_FOOT], "<article>{}</article>"),
+    (_CHROME[:3], _ARTICLE[::-1], _CHROME[3:9], "<main>{}</main>"),
+    (_CHROME[6:8], [*_ARTICLE[:4], _AD, *_ARTICLE[4:], _COMMENTS], _CHROME[9:], "<article class='post'>{}</article>"),
+    (_CHROME[2:5], [*_ARTICLE, _CHROME[5], _CHROME[10], _CHROME[11]], [_FOOT], "<div id='content'>{}</div>"),
+    (_CHROME[5:], [_P, _SHORT, _CHROME[4], _P, _CHROME[9], _CHROME[12]], _CHROME[:5], "<div class='entry-content'>{}</div>"),
     ([*_OUTSIDE, *_CHROME], _ARTICLE, [*_OUTSIDE, *_CHROME], "<article>{}</article>"),
-    (_OUTSIDE, [*_ARTICLE, ("<p hidden>{}</p>", 30, False), ("<div style='display:none'>{}</div>", 12, False)], [*_OUTSIDE, _CHROME[3]], "<main id='main'>{}</main>"),
-    (_CHROME[:1], [("<header><h1>{}</h1></header>", 6, True), *_ARTICLE[1:]], [*_OUTSIDE, ("<div hidden>{}</div>", 20, False), ("<p aria-hidden='true'>{}</p>", 20, False)], "<article>{}</article>"),
-    ([*_BARE_CHROME, *_CHROME[:2]], _BARE, [*_BARE_CHROME, *_CHROME[3:4]], "{}"),
-    (_BARE_CHROME, [*_BARE, ("<h1>{}</h1>", 6, True), ("<p>{}</p>", 25, True), ("<h2>{}</h2>", 4, True), ("<p>{}</p>", 40, True)], _BARE_CHROME, "{}"),
-    (_CHROME[:5], [("<h1>{}</h1>", 6, True), _P, _P, ("<p>{}</p>", 20, True)], _CHROME[5:], "{}"),
+    (_OUTSIDE, [*_ARTICLE, *_CHROME[15:]], [*_OUTSIDE, _FOOT], "<main id='main'>{}</main>"),
+    ([_MENU], [("<header><h1>{}</h1></header>", 2, 12, True), *_ARTICLE[1:]], [*_OUTSIDE, *_CHROME[13:]], "<article>{}</article>"),
+    (_BARE_LINKS, _BARE_TEXT, [], "{}"),
+    ([], _BARE_TEXT[:3], [], "{}"),
+    ([], _BARE_TEXT, [*_BARE_LINKS, ("<p>{}</p>", 1, 8, False)], "{}"),
+    ([_BARE_SMALL, *_BARE_LINKS, _BARE_SMALL], _BARE_DIVS, [*_BARE_LINKS, _BARE_SMALL, _BARE_LINKS[0]], "{}"),
+    ([*_BARE_LINKS[:2], _MENU], _BARE_DIVS, [_BARE_LINKS[3], _BARE_SMALL, _FOOT], "<div>{}</div>"),
+    (_CHROME, _BARE_TEXT, _CHROME, "{}"),
+    (_CHROME[:5], _BARE_TEXT, [_COMMENTS, *_CHROME[11:15], _COMMENTS], "<div class='wrapper'>{}</div>"),
+    ([_MENU], [*_BARE_TEXT, _P], [_BARE_LINKS[1]], "<div class='widget-area'>{}</div>"),
+    ([_MENU], [*_BARE_TEXT, _P], [_CHROME[5]], "<form>{}</form>"),
+    ([*_BARE_LINKS[:1]], [*_BARE_TEXT, _P], [_FOOT], "<div class='page-header'>{}</div>"),
 ]
+RENDERINGS, WORD = 24, re.compile(r"(x|k)w\d+")
 
 
-@functools.cache
-def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES and labels of the blocks of LAYOUTS."""
-    xs, ys = [], []
-    for before, within, after, wrapper in LAYOUTS:
-        keep: dict[str, bool] = {}
-
-        def render(parts, tag):
-            out = []
-            for i, (shape, words, label) in enumerate(parts):
-                n = shape.count("{}")
-                fill = [" ".join(f"{tag}{i}w{k}x{j}" for j in range(words)) for k in range(n)]
-                keep.update({f"{tag}{i}w": label})
-                out.append(shape.format(*fill))
-            return "".join(out)
-
-        page = "<html><head><title>t</title></head><body>" + render(before, "b") + wrapper.replace("{}", render(within, "i")) + render(after, "e") + "</body></html>"
-        found = blocks(page)
-        marks = [re.search(r"[bie]\d+w", b.text) for b in found]
-        xs.append(describe(found))
-        ys += [bool(m) and keep[m[0]] for m in marks]
+def render(layout, rng: np.random.Generator) -> str:
+    """A raw page of a layout; words that are to be kept start with k, others with x."""
+    before, within, after, wrapper = layout
+
+    def fill(parts) -> str:
+        out = []
+        for shape, least, most, keep in parts:
+            words = (" ".join(f"{'k' if keep else 'x'}w{j}" for j in range(int(rng.integers(least, most + 1)))) for _ in range(shape.count("{}")))
+            out.append(shape.format(*words))
+        return "".join(out)
+
+    some = lambda parts: [x for x in parts if rng.random() < 0.8]
+    return "<html><head><title>t</title></head><body>" + fill(some(before)) + wrapper.replace("{}", fill(some(within) or within)) + fill(some(after)) + "</body></html>"
+
+
+def labelled(layouts=LAYOUTS, renderings: int = RENDERINGS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and labels of the blocks of pages rendered from layouts."""
+    rng, xs, ys = np.random.default_rng(seed), [], []
+    for layout in layouts:
+        for _ in range(renderings):
+            found = blocks(render(layout, rng))
+            xs.append(describe(found))
+            ys += [WORD.search(b.text)[1] == "k" for b in found]
     return np.concatenate(xs), np.array(ys, bool)
 
 
@@ -277,24 +353,24 @@ def tree() -> Node:
     return grow(*labelled())
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, node: Node | None = None) -> str:
     found = blocks(page)
     if not found:
         return ""
-    kept = decide(tree(), describe(found))
+    kept = decide(node or tree(), describe(found))
     return "\n".join(b.text for b, k in zip(found, kept.tolist()) if k)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """df without html_col, with text and its n_chars."""
-    columns = [c for c in df.columns if c not in ("text", "n_chars", html_col)]
+    """df without html_col, with text and its n_chars. The tree is trained on the driver and goes with the task."""
+    columns, node = [c for c in df.columns if c not in ("text", "n_chars", html_col)], tree()
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(len(columns))]
+            texts = [main_text(x.as_py(), node) for x in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
 
-    return map_arrow(df.select(*columns, F.col(html_col)), run, "text string, n_chars long", columns)
+    return map_arrow(df.select(*columns, F.col(html_col).alias("__html")), run, "text string, n_chars long", columns)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
