@@ -1,29 +1,33 @@
 """Removal of lines that other documents hold too.
 
-Each task fills two Bloom filters with the keys of its lines, seen once and seen twice; filters merge by
-slices (twice |= other.twice | once & other.once). Only lines whose key may be in the merged second filter
-are shuffled, by their full key, to confirm the repeat and find the smallest id. The filters have a fixed
-upper size: beyond its capacity more lines are suspected and shuffled, and the result stays the same.
-
-Edge cases: null and empty texts are one empty line; a null id counts as the largest; rows with equal ids are
-one document (each row is cleaned, and a key that only they hold stays); equal keys within a document are kept
-or dropped together; columns named n_lines or n_dropped are replaced; an empty table gives no rows.
+The keys of all lines, a digest each, are split by hash range into slices of about `slice_keys` keys, as many as the
+keys need, so that the bits a key stay the same at any size. Each task turns its keys into fragments of two Bloom
+filters a slice, seen once and seen twice; a slice's fragments merge (twice |= other.twice | once & other.once). The
+digests meet the filter of their slice, and only those that may be in the second one, the suspected repeats, are
+shuffled to confirm the repeat and find the smallest id. Digests are 128 bits of BLAKE2b: two lines are one if their
+digests are. Documents are shuffled once, to meet the digests they lose. Slices and keys that hold very many
+documents are split by salts, so no key's documents meet in one task.
+
+Edge cases: null and empty texts are one empty line; a null id counts as the largest, and rows with it as one
+document; rows with equal ids are one document (each row is cleaned, and a key that only they hold stays); equal keys
+within a document are kept or dropped together; columns named n_lines or n_dropped are replaced; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, cut, map_arrow, read
 
-MIN_CHARS, MIN_BITS, MAX_BITS, SLICE, MERGE = 10, 20, 27, 1 << 15, 64
+#: Shortest key; keys a slice is meant for, and bits of its filter (32 a key); documents of a slice or key a task takes.
+MIN_CHARS, SLICE_KEYS, SLICE_BITS, SALT_ROWS = 10, 1 << 13, 18, 1 << 16
 NO_ID = (1 << 63) - 1
 
 
@@ -39,92 +43,126 @@ def doc_keys(text: bytes | None, least: int) -> set[bytes]:
     return {k for k in map(line_key, (text or b"").split(b"\n")) if eligible(k, least)}
 
 
-class Bloom:
-    """A filter of 2**bits bits with three positions for each 64-bit hash."""
+def digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
 
-    def __init__(self, bits: int, data: bytes | None = None):
-        self.bits, self.data = bits, np.zeros(1 << bits >> 3, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
-    def places(self, hashes: np.ndarray):
-        step = (hashes >> np.uint64(32)) | np.uint64(1)
-        for i in range(3):
-            at = (hashes + np.uint64(i) * step) & np.uint64((1 << self.bits) - 1)
-            yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+def places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Three places of each 64-bit hash in a filter of 2**bits bits."""
+    step = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) | np.uint64(1)
+    return ((hashes[None] + np.arange(3, dtype=np.uint64)[:, None] * step[None]) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
-    def add(self, hashes: np.ndarray) -> None:
-        for at, bit in self.places(hashes):
-            np.bitwise_or.at(self.data, at, bit)
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for at, bit in self.places(hashes):
-            out &= self.data[at] & bit != 0
-        return out
+def _packed(at: np.ndarray) -> bytes:
+    return zlib.compress(at.astype("<u4").tobytes(), 1)
 
 
-def _hashes(keys) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u4")
 
 
-def _fold(table: pa.Table) -> pa.Table:
-    once = twice = None
-    for a, b in zip(table["once"], table["twice"]):
-        x, y = (np.frombuffer(zlib.decompress(v.as_py()), np.uint8) for v in (a, b))
-        once, twice = (x, y) if once is None else (once | x, twice | y | once & x)
-    pack = lambda v: pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())
-    return pa.table({"slice": table["slice"].slice(0, 1), "part": pa.array([table["part"][0].as_py() // MERGE], pa.int64()), "once": pack(once), "twice": pack(twice)})
-
-
-def suspected(df: DataFrame, text_col: str, bits: int, least: int) -> bytes:
-    """The merged filter of keys seen twice, 2**bits / 8 bytes: bounded by MAX_BITS."""
+def line_digests(df: DataFrame, text_col: str, least: int) -> DataFrame:
+    """holder, sub, digest and its hash of each key of each row of df, which has holder and sub."""
 
     def run(batches):
-        once, twice = Bloom(bits), Bloom(bits)
         for batch in batches:
-            keys = [_hashes(doc_keys(x.as_py(), least)) for x in batch.column(0)]
-            found, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
-            twice.add(found[(n > 1) | once.has(found)])
-            once.add(found)
-        for k, at in enumerate(range(0, len(once.data), SLICE)):
-            if once.data[at : at + SLICE].any():
-                a, b = (pa.array([zlib.compress(x.data[at : at + SLICE].tobytes(), 1)], pa.binary()) for x in (once, twice))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([TaskContext.get().partitionId() // MERGE], pa.int64()), a, b], names=["slice", "part", "once", "twice"])
-
-    schema = "slice long, part long, once binary, twice binary"
-    texts = df.select(F.col(text_col).cast("binary"))
-    parts, merged = texts.rdd.getNumPartitions(), map_arrow(texts, run, schema)
-    while True:  # at most MERGE filters meet in a task, however many tasks there are
-        parts = -(-parts // MERGE)
-        merged = merged.groupBy("slice", "part").applyInArrow(_fold, schema)
-        if parts <= 1:
-            break
-    data = bytearray(1 << bits >> 3)
-    for row in merged.select("slice", "twice").toLocalIterator():
-        data[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = zlib.decompress(row["twice"])
-    return bytes(data)
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, filter_bits: int | None = None) -> DataFrame:
-    """df with the kept lines in text_col, and n_lines and n_dropped of each text."""
-    spark, df = df.sparkSession, df.drop("n_lines", "n_dropped")
-    bits = filter_bits or min(MAX_BITS, max(MIN_BITS, (64 * df.count()).bit_length()))
-    seen = spark.sparkContext.broadcast(suspected(df, text_col, bits, min_chars))
+            rows, found = [], []
+            for i, text in enumerate(batch.column(2)):
+                own = [digest(k) for k in doc_keys(text.as_py(), least)]
+                found += own
+                rows += [i] * len(own)
+            at = pa.array(rows, pa.int64())
+            hashes = np.frombuffer(b"".join(found), "<i8")[::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.binary()), pa.array(hashes)], names=["holder", "sub", "digest", "hash"])
+
+    return map_arrow(df.select("holder", "sub", F.col(text_col).cast("binary")), run, "holder long, sub long, digest binary, hash long")
+
+
+def _slice(hashed: Column, slices: int) -> Column:
+    return F.shiftrightunsigned(F.shiftrightunsigned(hashed, 32) * F.lit(slices).cast("long"), 32)
+
+
+def filters(keys: DataFrame, slices: int, bits: int) -> DataFrame:
+    """(slice, n, data): how many keys a slice has, repeats included, and its filter of keys seen twice. A task holds its
+    own hashes and then a slice at a time; merging holds the fragments of a slice: a key is in it once a task at most."""
+
+    def fragments(batches):
+        found = [batch.column(0).to_numpy().view(np.uint64) for batch in batches]
+        if not found:
+            return
+        own, n = np.unique(np.concatenate(found), return_counts=True)
+        of = (own >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(own) else np.zeros(0, int)
+        for a in range(0, len(at), 1024):
+            rows = []
+            for i, j in zip(at[a : a + 1024], [*at[a + 1 : a + 1025], len(own)][: len(at[a : a + 1024])]):
+                p = places(own[i:j], bits)
+                rows.append((int(of[i]), int(n[i:j].sum()), _packed(np.unique(p)), _packed(np.unique(p[:, n[i:j] > 1]))))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["slice", "n", "once", "twice"])
+
+    def fold(table: pa.Table) -> pa.Table:
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        for a, b in zip(table["once"], table["twice"]):
+            own = _unpacked(a.as_py())
+            twice[_unpacked(b.as_py())] = True
+            twice[own[once[own]]] = True
+            once[own] = True
+        return pa.table({"slice": table["slice"].slice(0, 1), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "data": pa.array([_packed(np.flatnonzero(twice))], pa.binary())})
+
+    parts = map_arrow(keys.select("hash"), fragments, "slice long, n long, once binary, twice binary")
+    return parts.groupBy("slice").applyInArrow(fold, "slice long, n long, data binary")
+
+
+def suspected(keys: DataFrame, slice_keys: int = SLICE_KEYS, bits: int = SLICE_BITS, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """The rows (holder, sub, digest) of keys whose digest may be in two rows or more; few others."""
+    slices = max(1, -(-keys.count() // slice_keys))
+    made = cut(filters(keys, slices, bits), "filters")
+    # slices above salt_rows keys, few by their number, are split, and each part has a copy of the filter
+    large = cut(made.where(F.col("n") > salt_rows).select("slice", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")), "large")
+    salt = F.coalesce(F.pmod(F.xxhash64("holder", "sub"), F.col("salts")), F.lit(0)).cast("int")
+    rows = keys.select("holder", "sub", "digest", _slice(F.col("hash"), slices).alias("slice")).join(large, "slice", "left").withColumn("salt", salt)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt")
+    copies = made.join(large, "slice", "left").select("slice", "data", every)
+    none = lambda kind: F.lit(None).cast(kind)
+    met = rows.select("slice", "salt", "holder", "sub", "digest", none("binary").alias("data")).unionByName(copies.select("slice", "salt", none("long").alias("holder"), none("long").alias("sub"), none("binary").alias("digest"), "data"))
+    met = met.repartition("slice", "salt").sortWithinPartitions("slice", "salt", F.col("data").isNull())
 
     def probe(batches):
-        twice = Bloom(bits, seen.value)
+        twice, of = np.zeros(1 << bits, bool), None
         for batch in batches:
-            row, keys = [], []
-            for i, text in enumerate(batch.column(1)):
-                if own := list(doc_keys(text.as_py(), min_chars)):
-                    hit = twice.has(_hashes(own))
-                    keys += [k for k, h in zip(own, hit.tolist()) if h]
-                    row += [i] * int(hit.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(keys, pa.binary()), pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary())], names=["holder", "key", "digest"])
-
+            data, number = batch.column(3), batch.column(4).to_numpy()
+            heads = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            hit = np.zeros(batch.num_rows, bool)
+            for a, b in zip([-1, *heads], [*heads, batch.num_rows]):
+                if a >= 0:
+                    of, at = number[a], _unpacked(data[a].as_py())
+                    twice[:] = False
+                    twice[at] = True
+                if b > a + 1:
+                    assert (number[a + 1 : b] == of).all()  # a slice's filter comes before its keys
+                    hashes = np.frombuffer(b"".join(batch.column(2).slice(a + 1, b - a - 1).to_pylist()), "<u8")[::2]
+                    hit[a + 1 : b] = twice[places(hashes, bits)].all(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit)) for i in range(3)], names=["holder", "sub", "digest"])
+
+    return map_arrow(met.select("holder", "sub", "digest", "data", "slice"), probe, "holder long, sub long, digest binary")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, filter_bits: int = SLICE_BITS, slice_keys: int = SLICE_KEYS, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """df with the kept lines in text_col, and n_lines and n_dropped of each text."""
+    df = df.drop("n_lines", "n_dropped")
+    # rows without an id are one holder, told apart by their text where they meet what they lose
     holder = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    suspects = cut(map_arrow(df.select(holder.alias("holder"), F.col(text_col).cast("binary")), probe, "holder long, key binary, digest binary"), "suspects")
-    owners = cut(suspects.groupBy("key").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first < last").select("key", "first"), "owners")
-    drops = suspects.join(owners, "key").where("holder <> first").groupBy("holder").agg(F.collect_set("digest").alias("__drops"))
+    sub = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0)).cast("long")
+    keys = cut(line_digests(df.select(holder.alias("holder"), sub.alias("sub"), text_col), text_col, min_chars), "keys")
+    suspects = cut(suspected(keys, slice_keys, filter_bits, salt_rows), "suspects")
+    owners = cut(suspects.groupBy("digest").agg(F.min("holder").alias("first"), F.max("holder").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n"), "owners")
+    hot = cut(owners.where(F.col("n") > salt_rows).select("digest", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")), "hot")
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    dealt = suspects.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("holder", "sub"), salts).cast("int"))
+    every = owners.join(hot, "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    lost = dealt.join(every, ["digest", "salt"]).where("holder <> first")
+    drops = lost.groupBy(F.col("holder").alias("__holder"), F.col("sub").alias("__sub")).agg(F.collect_set("digest").alias("__drops"))
     columns, at = df.columns, df.columns.index(text_col)
 
     def rebuild(batches):
@@ -136,12 +174,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     texts.append(text), lines.append(text.count("\n") + 1), dropped.append(0)
                     continue
                 own, drop = text.encode().split(b"\n"), set(drop)
-                kept = [x for x in own if not (eligible(k := line_key(x), min_chars) and xxhash.xxh3_128_digest(k) in drop)]
+                kept = [x for x in own if not (eligible(k := line_key(x), min_chars) and digest(k) in drop)]
                 texts.append(b"\n".join(kept).decode()), lines.append(len(own)), dropped.append(len(own) - len(kept))
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
-    joined = df.withColumn("__holder", holder).join(drops.withColumnRenamed("holder", "__holder"), "__holder", "left").select(*columns, "__drops")
+    joined = df.withColumns({"__holder": holder, "__sub": sub}).join(drops, ["__holder", "__sub"], "left").select(*columns, "__drops")
     return map_arrow(joined, rebuild, "n_lines long, n_dropped long", columns)
 
 
