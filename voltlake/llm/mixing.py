@@ -1,27 +1,34 @@
 """Mixing sources to target weights by entropy balancing.
 
-Units are words: a document of m words has base mass m, and its rate r scales it. Among the rates that meet a
-source's constraints, entropy balancing takes those of least relative entropy to the base, and these are tilted
-exponentially: r = exp(a + b * z), at most `cap`, where (a, b) solves the convex dual. The constraints of a source are
-its words, sum(m * r) = target, and the mean of z (the logarithm of the length, less its mean over the source's
-words) over the words taken, `length_shift` (0: the source keeps its lengths). Newton iterations sum gradient and
-curvature over all documents, by classes of equal (source, length), whose documents have equal rates; they start
-from the rate that meets the words alone. Rates are rounded to whole copies along descending lengths (cumulated
-rates are rounded, so a source is off by less than its longest document), then single copies mend what is left.
+Units are documents: each has rate r, 1 before the mix, and among the rates that meet a source's constraints entropy
+balancing takes those of least relative entropy to 1. With the token constraint sum(size * r) = target these are tilted
+exponentially, r = exp(a * u) with u = size over the source's mean size, at most `cap`: a source with too many words
+loses its long documents first, one with too few repeats them first. A `length_shift` adds a second constraint, that
+the words taken have a mean logarithm of length larger by so much than the source's, and a second tilt,
+r = exp(a * u + b * u * (z - length_shift)) with z the logarithm less its mean. (a, b) solves the convex dual
+sum(phi(tilt)) - a * target / mean. Newton iterations start at 0 for all sources at once; gradient, curvature and the
+dual at several lengths of the last step are sums over all documents, by classes of equal (source, size), whose rates
+are equal, and the length with the least dual is kept. It is an error if they do not converge. Rates are rounded to
+whole copies along descending lengths (cumulated rates are rounded, so a source is off by less than its longest
+document), then single copies mend what is left.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; documents without words
-take none; rows with equal ids, sources and sizes are taken alike; columns named size, source_size, target, copies, taken
-are replaced; an empty table gives no rows.
+take none; a source whose target is `cap` times its size takes all its documents so often; rows with equal ids, sources
+and sizes are taken alike, and so are rows without id if their texts are equal too; columns named size, source_size,
+target, copies, taken are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, read
 
-WEIGHTS, CAP, SALTS, STEPS, MENDS = (5.0, 2.0, 1.0), 3, 256, 40, 4
+WEIGHTS, CAP, SALTS, STEPS, MENDS = (5.0, 2.0, 1.0), 3, 256, 60, 4
+#: Sources a task ranks; shares of a Newton step that are tried at once; how far from its target, in proportion, a source may be.
+RANGE_SOURCES, LENGTHS, TOLERANCE = 100_000, (1.0, 0.5, 0.25, 1 / 16, 1 / 256), 1e-9
 #: Where cumulated rates are rounded: no simple fraction, so no rate of a few digits falls on a boundary.
 PHASE = 0.41421356
 
@@ -32,47 +39,64 @@ def word_count(text: str) -> Column:
 
 def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """Of (source, source_size): sid, weight and target. Weights repeat in code point order, null last; a target stops at
-    cap times its source's size and the excess is shared again: target = min(cap * size, weight * level)."""
+    cap times its source's size and the excess is shared again: target = min(cap * size, weight * level). Sources are
+    ranked by ranges, the level is a sum over all of them, once for each time that more sources stop."""
+    ranges = max(1, -(-sources.count() // RANGE_SOURCES))
+    order = F.col("source").asc_nulls_last()
+    dealt = sources if ranges == 1 else sources.repartitionByRange(ranges, order)
+    dealt = cut(dealt.withColumn("range", F.spark_partition_id() if ranges > 1 else F.lit(0)), "sources")
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("start"))  # a row a range
+    ranked = dealt.join(starts, "range").withColumn("sid", F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy(order)))
     turn = F.pmod(F.col("sid") - 1, F.lit(len(weights))).cast("int")
-    ranked = sources.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", F.get(F.array(*map(F.lit, weights)), turn))
-    by = Window.orderBy(cap * F.col("source_size") / F.col("weight"), "sid")
-    full = F.coalesce(F.sum(cap * F.col("source_size")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    level = ranked.withColumn("level", (F.sum("source_size").over(everything) - full) / rest).withColumn("level", F.max("level").over(everything))
-    return level.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.col("weight") * F.col("level"))).drop("level")
-
-
-def balance(classes: DataFrame, goals: DataFrame, cap: float, length_shift: float, steps: int = STEPS) -> DataFrame:
-    """(sid, a, b) of the dual, from classes (sid, size, n, z) and goals (sid, source_size, target)."""
-    some = (F.col("source_size") > 0) & (F.col("target") > 0)
-    dual = cut(goals.where(some).select("sid", "target", F.log(F.col("target") / F.col("source_size")).alias("a"), F.lit(0.0).alias("b")), "dual")
-    mass, tilt = F.col("n") * F.col("size"), F.exp(F.col("a") + F.col("b") * F.col("z"))
-    for _ in range(steps):
-        rate, bend = F.least(F.lit(float(cap)), tilt), F.when(tilt < cap, tilt).otherwise(0.0)
-        sums = {"g0": mass * rate, "g1": mass * rate * (F.col("z") - length_shift), "h0": mass * bend, "h1": mass * bend * F.col("z"), "h2": mass * bend * F.col("z") * (F.col("z") - length_shift), "h3": mass * bend * (F.col("z") - length_shift)}
-        state = classes.where("size > 0").join(dual, "sid").groupBy("sid", "target", "a", "b").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-        gap0, gap1 = (F.col("g0") - F.col("target")) / F.col("target"), F.col("g1") / F.col("target")
-        off = F.greatest(F.abs(gap0), F.abs(gap1) if length_shift else F.lit(0.0))
-        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h3")
-        if length_shift:
-            step0 = F.try_divide((F.col("g0") - F.col("target")) * F.col("h2") - F.col("g1") * F.col("h1"), det)
-            step1 = F.try_divide(F.col("h0") * F.col("g1") - F.col("h3") * (F.col("g0") - F.col("target")), det)
-        else:
-            step0, step1 = F.try_divide(F.col("g0") - F.col("target"), F.col("h0")), F.lit(0.0)
-        clip = lambda x: F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.coalesce(x, F.lit(0.0))))
-        state = cut(state.select("sid", "target", (F.col("a") - F.when(off > 1e-10, clip(step0)).otherwise(0.0)).alias("a"), (F.col("b") - F.when(off > 1e-10, clip(step1)).otherwise(0.0)).alias("b"), off.alias("off")), "dual")
-        dual = state.drop("off")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= 1e-9:
-            break
-    return dual.select("sid", "a", "b")
-
-
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, cap: int = CAP, length_shift: float = 0.0, salts: int = SALTS) -> DataFrame:
-    """df with size (the words of text_col, or `size`), source_size, target, copies and taken = copies * size."""
+    ranked = cut(ranked.select("source", "source_size", "sid", F.get(F.array(*map(F.lit, weights)), turn).alias("weight")), "ranked")
+    level, stopped, most = 0.0, -1, cap * F.col("source_size").cast("double")
+    while True:
+        stops = F.col("weight") * level > most
+        total, full, open_weight, now = ranked.agg(F.sum("source_size"), F.sum(F.when(stops, most)), F.sum(F.when(~stops, F.col("weight"))), F.count_if(stops)).first()
+        if now == stopped:
+            return ranked.withColumn("target", F.least(most, F.col("weight") * level))
+        stopped, level = now, ((total or 0) - (full or 0.0)) / open_weight if open_weight else 0.0
+
+
+def balance(classes: DataFrame, goals: DataFrame, cap: float, length_shift: float, steps: int = STEPS) -> tuple[DataFrame, int]:
+    """(sid, a, b) of the dual, and after how many sums over all classes (sid, size, n, u, z); goals: (sid, source_size, target, mean)."""
+    some = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))
+    goal, zero = F.col("target") / F.col("mean"), F.lit(0.0)
+    dual = cut(goals.where(some).select("sid", goal.alias("goal"), zero.alias("a"), zero.alias("b"), zero.alias("step_a"), zero.alias("step_b")), "dual")
+    top = float(np.log(cap))
+    tilt = F.col("a") * F.col("u") + F.col("b") * F.col("v")
+    inside = F.col("x") < top
+    rate = F.exp(F.least(F.col("x"), F.lit(top)))
+    sums = {
+        "phi": F.when(inside, rate).otherwise(cap * (F.col("x") - top + 1)), "g": rate * F.col("u"), "k": rate * F.col("v"),
+        "gg": F.when(inside, rate * F.col("u") * F.col("u")).otherwise(0.0), "gk": F.when(inside, rate * F.col("u") * F.col("v")).otherwise(0.0), "kk": F.when(inside, rate * F.col("v") * F.col("v")).otherwise(0.0),
+    }
+    rows = classes.where("size > 0").withColumn("v", F.col("u") * (F.col("z") - length_shift) if length_shift else F.lit(0.0)).select("sid", "n", "u", "v")
+    for k in range(1, steps + 1):
+        lengths = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(LENGTHS if k > 1 else (0.0,))))
+        tried = dual.withColumn("l", F.explode(lengths)).select("sid", "goal", (F.col("a") - F.col("l.t") * F.col("step_a")).alias("a"), (F.col("b") - F.col("l.t") * F.col("step_b")).alias("b"), "l.i")
+        summed = rows.join(tried, "sid").withColumn("x", tilt).groupBy("sid", "goal", "a", "b", "i").agg(*(F.sum(F.col("n") * v).alias(c) for c, v in sums.items()))
+        best = F.min_by(F.struct("goal", "a", "b", *sums), F.struct(F.col("phi") - F.col("a") * F.col("goal"), F.col("i"))).alias("s")
+        at = summed.groupBy("sid").agg(best).select("sid", "s.*").withColumn("g", F.col("g") - F.col("goal"))
+        off = F.greatest(F.abs("g"), F.abs("k")) / F.col("goal")
+        det = F.col("gg") * F.col("kk") - F.col("gk") * F.col("gk")
+        flat = F.coalesce(F.try_divide("g", "gg"), F.signum("g"))  # only the token constraint bends
+        both = det > 1e-12 * F.col("gg") * F.col("kk")
+        step_a = F.when(both, (F.col("g") * F.col("kk") - F.col("k") * F.col("gk")) / det).otherwise(flat)
+        step_b = F.when(both, (F.col("k") * F.col("gg") - F.col("g") * F.col("gk")) / det).otherwise(0.0)
+        dual = cut(at.select("sid", "goal", "a", "b", step_a.alias("step_a"), step_b.alias("step_b"), off.alias("off")), "dual")
+        if (dual.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+            return dual.select("sid", "a", "b"), k
+    raise RuntimeError(f"the dual has not converged after {steps} Newton iterations")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights=WEIGHTS, cap: int = CAP, length_shift: float = 0.0, salts: int = SALTS, tie: Column | None = None) -> DataFrame:
+    """df with size (the words of text_col, or `size`), source_size, target, copies and taken = copies * size. tie: a hash
+    that tells apart rows without id, by default that of text_col if df has it."""
     size = word_count(text_col) if size is None else size
-    pick = F.xxhash64(id_col)
+    tie = F.xxhash64(text_col) if tie is None and text_col in df.columns else tie
+    pick = F.xxhash64(id_col) if tie is None else F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(0), tie)).otherwise(F.xxhash64(id_col))
     keys = {"__source": F.col(source_col), "__size": size, "__salt": F.pmod(pick, F.lit(salts)).cast("int"), "__pick": pick}
     rows = cut(df.select(*(v.alias(k[2:]) for k, v in keys.items())), "rows")
     counts = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -82,17 +106,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     salted = cut(salted.join(named, F.col("source").eqNullSafe(F.col("__source"))).select("sid", "size", "salt", "n", "source_size"), "salted")
     classes = salted.groupBy("sid", "size").agg(F.sum("n").alias("n"))
     log = F.log(F.greatest("size", F.lit(1)))
-    mean = classes.groupBy("sid").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * log), F.sum(F.col("n") * F.col("size"))).alias("mean"))
-    classes = cut(classes.join(mean, "sid").withColumn("z", log - F.coalesce("mean", F.lit(0.0))).drop("mean"), "classes", salted.count())
+    words = F.col("n") * F.col("size")
+    means = classes.groupBy("sid").agg(F.try_divide(F.sum(words * log), F.sum(words)).alias("log_mean"), F.try_divide(F.sum(words).cast("double"), F.sum(F.when(F.col("size") > 0, F.col("n")))).alias("mean"))
+    means = cut(means, "means")
+    scaled = classes.join(means, "sid").withColumns({"u": F.col("size") / F.coalesce("mean", F.lit(1.0)), "z": log - F.coalesce("log_mean", F.lit(0.0))})
+    classes = cut(scaled.drop("mean", "log_mean"), "classes", salted.count())
     n_classes = classes.count()
-    dual = balance(classes, goals, cap, length_shift)
+    dual, _ = balance(classes, goals.join(means, "sid"), cap, length_shift)
 
-    rate = F.coalesce(F.least(F.lit(float(cap)), F.exp(F.col("a") + F.col("b") * F.col("z"))), F.lit(0.0))
+    tilted = F.exp(F.least(F.col("a") * F.col("u") + F.col("b") * F.col("u") * (F.col("z") - length_shift), F.lit(float(np.log(cap)))))
+    rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), 0.0).otherwise(F.coalesce(tilted, F.lit(float(cap))))  # no dual: all that may be taken
     upto = F.sum(F.col("n") * F.col("r")).over(Window.partitionBy("sid").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    rounded = classes.join(dual, "sid", "left").withColumn("r", rate).withColumn("c", upto)
+    goal = goals.select("sid", "target")
+    rounded = classes.join(goal, "sid").join(dual, "sid", "left").withColumn("r", rate).withColumn("c", upto)
     k = F.floor(F.col("c") + PHASE) - F.floor(F.col("c") - F.col("n") * F.col("r") + PHASE)
     chosen = cut(rounded.select("sid", "size", "n", F.greatest(F.lit(0), F.least(cap * F.col("n"), k)).cast("long").alias("k")), "chosen", n_classes)
-    goal = goals.select("sid", "target")
     for _ in range(MENDS):  # one copy more or less of one document whose length is nearest to what a source is off
         left = chosen.groupBy("sid").agg(F.sum(F.col("k") * F.col("size")).alias("got")).join(goal, "sid").select("sid", (F.col("target") - F.col("got")).alias("left"))
         can = F.when(F.col("left") > 0, F.col("k") < cap * F.col("n")).otherwise(F.col("k") > 0)
@@ -123,5 +151,5 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    return mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"))
+    return mix(cut(docs, "sizes"), size=F.col("size"), tie=F.col("tie")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
