@@ -4,8 +4,7 @@ Words are counted over all training documents. The model's symbols are the end o
 words, and classes of all other words by their last letters; a word of a class has the share (c + 1) / (n + v + 1)
 of it, where c is its own count, n the class's words, v its distinct words, and unknown words share the last 1. So
 the model is a distribution over texts, and the counts of all words enter it. Baum-Welch trains the states: each
-task sums expected counts over all its training documents, cut into windows; the sums, of a size fixed by symbols
-and states, are merged in steps and the model sent out again. It starts from a few iterations on a small sample. The
+task sums expected counts over all its training documents, each whole; the sums, of a size fixed by symbols and states, are merged in steps and the model sent out again. It starts from a few iterations on a small sample. The
 scaled forward recursion over the whole text is the exact likelihood. Words outside of HEAD meet their counts in a
 join by hash.
 
@@ -28,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import PARTS, array_parts, cut, lower_ascii, map_arrow, read, remainder, split_words, summed
 
-CLASSES, SYMBOLS, STATES, WINDOW, BATCH = 512, 1 << 15, 8, 64, 2048
+CLASSES, SYMBOLS, STATES, BATCH = 512, 1 << 15, 8, 1 << 17
 HEAD = SYMBOLS - CLASSES - 1
 #: Words found less often stay in their class, so that classes have seen rare words on small inputs too.
 LEAST = 3
-ROUNDS, SAMPLE_WINDOWS, SAMPLE_ROUNDS, PRIOR = 2, 4096, 25, 500.0
+ROUNDS, SAMPLE_TOKENS, SAMPLE_TEXTS, SAMPLE_ROUNDS, PRIOR = 2, 1 << 18, 4096, 25, 500.0
 #: Words that a task keeps in memory at once.
 KEPT_WORDS = 400_000
 
@@ -174,43 +173,37 @@ class Model:
         back[order] = out
         return back
 
-    def expect(self, windows: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Expected counts over windows (n, WINDOW): rows of emissions by symbol, then of moves, then of starts, and the
-        log likelihood. first: which windows begin a text."""
-        k = len(self.start)
-        inside = np.arange(windows.shape[1])[None, :] < sizes[:, None]
-        seen = self.emit.astype(np.float32)[windows]
-        seen[~inside] = 1.0
-        move, alpha, scale = self.move.astype(np.float32), np.empty_like(seen), np.ones(windows.shape, np.float32)
-        begin = np.where(first[:, None], self.start, self.stationary()).astype(np.float32)
-        now = begin * seen[:, 0]
-        for t in range(windows.shape[1]):
+    def expect(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Expected counts over whole texts: rows of emissions by symbol, then of moves, then of starts, and the log
+        likelihood. All texts go on in step, longest first; a text that has ended is in no later step."""
+        k, texts = len(self.start), sorted(texts, key=len, reverse=True)
+        sizes = np.array([len(t) for t in texts])
+        steps, n = int(sizes[0]), len(texts)
+        symbols = np.zeros((steps, n), np.intp)
+        for i, t in enumerate(texts):
+            symbols[: len(t), i] = t
+        active = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts longer than t
+        move, seen = self.move.astype(np.float32), self.emit.astype(np.float32)[symbols]
+        alpha, onward, scale = np.zeros_like(seen), np.zeros_like(seen), np.ones((steps, n), np.float32)
+        now = self.start.astype(np.float32) * seen[0]
+        for t, m in enumerate(active.tolist()):
             if t:
-                now = (now @ move) * seen[:, t]
-            scale[:, t] = now.sum(axis=1)
-            now = now / scale[:, t, None]
-            alpha[:, t] = now
-        beta = np.ones_like(begin)
-        emitted, moved = np.zeros((SYMBOLS, k)), np.zeros((k, k))
-        for t in range(windows.shape[1] - 1, -1, -1):
-            here = inside[:, t]
-            gamma = alpha[:, t] * beta
-            alpha[:, t] = np.where(here[:, None], gamma, 0.0)
+                now = (now[:m] @ move) * seen[t, :m]
+            scale[t, :m] = own = now.sum(axis=1)
+            now = now / own[:, None]
+            alpha[t, :m] = now
+        seen /= scale[:, :, None]
+        beta, gamma, back = np.ones((n, k), np.float32), np.zeros_like(seen), np.ascontiguousarray(move.T)
+        for t in range(steps - 1, -1, -1):
+            m = active[t]
+            gamma[t, :m] = alpha[t, :m] * beta[:m]
             if t:
-                onward = seen[:, t] * beta / scale[:, t, None]
-                before = alpha[:, t - 1]
-                moved += before[here].T.astype(np.float64) @ onward[here] * self.move
-                beta = onward @ move.T
-        flat = windows.ravel()
-        for j in range(k):
-            emitted[:, j] = np.bincount(flat, alpha[:, :, j].ravel(), SYMBOLS)
-        return np.concatenate([emitted, moved, alpha[first, 0].sum(axis=0, dtype=float)[None], np.full((1, k), np.log(scale).sum(dtype=float))])
-
-    def stationary(self) -> np.ndarray:
-        p = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
+                onward[t, :m] = ahead = seen[t, :m] * beta[:m]
+                beta[:m] = ahead @ back
+        moved = sum((a.T.astype(np.float64) @ b for a, b in zip(np.array_split(alpha[:-1].reshape(-1, k), 64), np.array_split(onward[1:].reshape(-1, k), 64))), np.zeros((k, k))) * self.move
+        flat = symbols.ravel()
+        emitted = np.stack([np.bincount(flat, gamma[:, :, j].ravel(), SYMBOLS) for j in range(k)], axis=1)
+        return np.concatenate([emitted, moved, gamma[0].sum(axis=0, dtype=float)[None], np.full((1, k), np.log(scale).sum(dtype=float))])
 
     @staticmethod
     def from_counts(total: np.ndarray, base: np.ndarray, prior: float = PRIOR) -> Model:
@@ -224,27 +217,24 @@ class Model:
 ROWS = SYMBOLS + STATES + 2
 
 
-def cut_windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, sizes, first) of the symbols of a text."""
-    n = -(-len(text) // WINDOW)
-    out, sizes, first = np.zeros(n * WINDOW, np.uint16), np.full(n, WINDOW), np.zeros(n, bool)
-    out[: len(text)], sizes[-1], first[0] = text, len(text) - (n - 1) * WINDOW, True
-    return out.reshape(n, WINDOW), sizes, first
-
-
 def sum_counts(model: Model, texts) -> np.ndarray | None:
-    """Expected counts over the symbols of many texts, in batches of BATCH windows."""
-    total, held, n = None, [], 0
-    for text in [*texts, None] if isinstance(texts, list) else (x for part in (texts, [None]) for x in part):
-        if text is not None:
-            held.append(cut_windows(text))
-            n += len(held[-1][1])
-        if held and (n >= BATCH or text is None):
-            w, s, f = (np.concatenate(x) for x in zip(*held))
-            for at in range(0, len(w), BATCH):
-                own = model.expect(w[at : at + BATCH], s[at : at + BATCH], f[at : at + BATCH])
-                total = own if total is None else np.add(total, own, out=total)
-            held, n = [], 0
+    """Expected counts over the symbols of many texts, in batches of about BATCH tokens whose lengths differ by less than 2."""
+    total, held, sizes = None, {}, {}
+
+    def add(own: list[np.ndarray]) -> None:
+        nonlocal total
+        counts = model.expect(own)
+        total = counts if total is None else np.add(total, counts, out=total)
+
+    for text in texts:
+        k = len(text).bit_length()
+        held.setdefault(k, []).append(text)
+        sizes[k] = sizes.get(k, 0) + len(text)
+        if sizes[k] >= BATCH:
+            sizes[k] = 0
+            add(held.pop(k))
+    for own in held.values():
+        add(own)
     return total
 
 
@@ -272,8 +262,7 @@ def begin(texts: list[np.ndarray], base: np.ndarray, states: int = STATES, round
 def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows of `encoded` (symbols, and pick: a uniform hash for the sample that begins it)."""
     base = base_distribution(vocab)
-    windows = max(1, vocab.total // WINDOW)
-    some = encoded.where(F.col("pick") < min(1.0, SAMPLE_WINDOWS / windows)).select("pick", "symbols").orderBy("pick", "symbols").limit(SAMPLE_WINDOWS).collect()
+    some = encoded.where(F.col("pick") < min(1.0, SAMPLE_TOKENS / max(1, vocab.total))).select("pick", "symbols").orderBy("pick", "symbols").limit(SAMPLE_TEXTS).collect()
     model = begin([np.frombuffer(r["symbols"], np.uint16) for r in some], base)
     texts = encoded.select("symbols")
     for _ in range(rounds if vocab.total else 0):
