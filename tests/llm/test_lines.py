@@ -22,7 +22,7 @@ def test_share_suspected_stays_flat(spark, times):
     rows = pd.DataFrame({"holder": range(n), "sub": 0, "digest": found, "hash": np.frombuffer(b"".join(found), "<i8")[::2]})
     again = rows.iloc[: n // 20].assign(holder=lambda r: r["holder"] + n)
     keys = spark.createDataFrame(pd.concat([rows, again]), "holder long, sub long, digest binary, hash long").repartition(7)
-    out = l.suspected(keys, slice_keys, bits, salt_rows=256).toPandas()
+    out = l.suspected(keys, len(rows) + len(again), slice_keys, bits, salt_rows=256).toPandas()
     repeated = set(again["digest"].map(bytes))
     hit = out["digest"].map(lambda x: bytes(x) in repeated)
     assert hit.sum() == 2 * len(again) and (~hit).sum() < 0.01 * n

@@ -1,7 +1,7 @@
 """Removal of lines that other documents hold too.
 
-The keys of all lines, a digest each, are split by hash range into slices of about `slice_keys` keys, as many as the
-keys need, so that the bits a key stay the same at any size. Each task turns its keys into fragments of two Bloom
+The keys of all lines, a digest each, are split by hash range into slices of at most about `slice_keys` keys, as many
+as the lines need, so that the bits a key stay the same at any size. Each task turns its keys into fragments of two Bloom
 filters a slice, seen once and seen twice; a slice's fragments merge (twice |= other.twice | once & other.once). The
 digests meet the filter of their slice, and only those that may be in the second one, the suspected repeats, are
 shuffled to confirm the repeat and find the smallest id. Digests are 128 bits of BLAKE2b: two lines are one if their
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, cut, map_arrow, read
 
-#: Shortest key; keys a slice is meant for, and bits of its filter (32 a key); documents of a slice or key a task takes.
-MIN_CHARS, SLICE_KEYS, SLICE_BITS, SALT_ROWS = 10, 1 << 13, 18, 1 << 16
+#: Shortest key; keys a slice is meant for, and bits of its filter (32 a key); documents of a slice or key a task
+#: takes; filters a file holds.
+MIN_CHARS, SLICE_KEYS, SLICE_BITS, SALT_ROWS, FILE_SLICES = 10, 1 << 13, 18, 1 << 16, 32
 NO_ID = (1 << 63) - 1
 
 
@@ -61,18 +62,23 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<u4")
 
 
+def _digests(texts: pa.Array, least: int) -> tuple[list[int], list[bytes], np.ndarray]:
+    """Row, digest and hash of each key of each text."""
+    rows, found = [], []
+    for i, text in enumerate(texts):
+        own = [digest(k) for k in doc_keys(text.as_py(), least)]
+        found += own
+        rows += [i] * len(own)
+    return rows, found, np.frombuffer(b"".join(found), "<i8")[::2]
+
+
 def line_digests(df: DataFrame, text_col: str, least: int) -> DataFrame:
     """holder, sub, digest and its hash of each key of each row of df, which has holder and sub."""
 
     def run(batches):
         for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(batch.column(2)):
-                own = [digest(k) for k in doc_keys(text.as_py(), least)]
-                found += own
-                rows += [i] * len(own)
+            rows, found, hashes = _digests(batch.column(2), least)
             at = pa.array(rows, pa.int64())
-            hashes = np.frombuffer(b"".join(found), "<i8")[::2]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.binary()), pa.array(hashes)], names=["holder", "sub", "digest", "hash"])
 
     return map_arrow(df.select("holder", "sub", F.col(text_col).cast("binary")), run, "holder long, sub long, digest binary, hash long")
@@ -82,12 +88,13 @@ def _slice(hashed: Column, slices: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(hashed, 32) * F.lit(slices).cast("long"), 32)
 
 
-def filters(keys: DataFrame, slices: int, bits: int) -> DataFrame:
-    """(slice, n, data): how many keys a slice has, repeats included, and its filter of keys seen twice. A task holds its
-    own hashes and then a slice at a time; merging holds the fragments of a slice: a key is in it once a task at most."""
+def filters(keys: DataFrame, slices: int, bits: int, least: int | None = None) -> DataFrame:
+    """(slice, n, data): how many keys a slice has, repeats included, and its filter of keys seen twice. The first column of
+    keys is their hash or, with `least`, texts. A task holds its own hashes and then a slice at a time; merging holds the
+    fragments of a slice: a key is in it once a task at most."""
 
     def fragments(batches):
-        found = [batch.column(0).to_numpy().view(np.uint64) for batch in batches]
+        found = [(batch.column(0).to_numpy() if least is None else _digests(batch.column(0), least)[2]).copy().view(np.uint64) for batch in batches]
         if not found:
             return
         own, n = np.unique(np.concatenate(found), return_counts=True)
@@ -110,16 +117,18 @@ def filters(keys: DataFrame, slices: int, bits: int) -> DataFrame:
             once[own] = True
         return pa.table({"slice": table["slice"].slice(0, 1), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "data": pa.array([_packed(np.flatnonzero(twice))], pa.binary())})
 
-    parts = map_arrow(keys.select("hash"), fragments, "slice long, n long, once binary, twice binary")
+    parts = map_arrow(keys.select(keys.columns[0]), fragments, "slice long, n long, once binary, twice binary")
     return parts.groupBy("slice").applyInArrow(fold, "slice long, n long, data binary")
 
 
-def suspected(keys: DataFrame, slice_keys: int = SLICE_KEYS, bits: int = SLICE_BITS, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """The rows (holder, sub, digest) of keys whose digest may be in two rows or more; few others."""
-    slices = max(1, -(-keys.count() // slice_keys))
-    made = cut(filters(keys, slices, bits), "filters")
+def suspected(keys: DataFrame, n: int, slice_keys: int = SLICE_KEYS, bits: int = SLICE_BITS, salt_rows: int = SALT_ROWS, texts: DataFrame | None = None, least: int = MIN_CHARS) -> DataFrame:
+    """The rows (holder, sub, digest) of keys whose digest may be in two rows or more; few others. n: the keys, or a bound on
+    their number; texts: what the keys are of, so that the filters need no second step in Python."""
+    slices = max(1, -(-n // slice_keys))
+    made = filters(keys.select("hash"), slices, bits) if texts is None else filters(texts, slices, bits, least)
+    made = cut(made.coalesce(-(-slices // FILE_SLICES)), "filters")
     # slices above salt_rows keys, few by their number, are split, and each part has a copy of the filter
-    large = cut(made.where(F.col("n") > salt_rows).select("slice", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")), "large")
+    large = made.where(F.col("n") > salt_rows).select("slice", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
     salt = F.coalesce(F.pmod(F.xxhash64("holder", "sub"), F.col("salts")), F.lit(0)).cast("int")
     rows = keys.select("holder", "sub", "digest", _slice(F.col("hash"), slices).alias("slice")).join(large, "slice", "left").withColumn("salt", salt)
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt")
@@ -154,10 +163,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # rows without an id are one holder, told apart by their text where they meet what they lose
     holder = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     sub = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0)).cast("long")
-    keys = cut(line_digests(df.select(holder.alias("holder"), sub.alias("sub"), text_col), text_col, min_chars), "keys")
-    suspects = cut(suspected(keys, slice_keys, filter_bits, salt_rows), "suspects")
-    owners = cut(suspects.groupBy("digest").agg(F.min("holder").alias("first"), F.max("holder").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n"), "owners")
-    hot = cut(owners.where(F.col("n") > salt_rows).select("digest", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")), "hot")
+    keys = line_digests(df.select(holder.alias("holder"), sub.alias("sub"), text_col), text_col, min_chars)
+    lines = df.agg(F.sum(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    suspects = cut(suspected(keys, lines, slice_keys, filter_bits, salt_rows, df.select(F.col(text_col).cast("binary")), min_chars), "suspects", lines)
+    owners = cut(suspects.groupBy("digest").agg(F.min("holder").alias("first"), F.max("holder").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n"), "owners", suspects.count())
+    hot = owners.where(F.col("n") > salt_rows).select("digest", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
     salts = F.coalesce(F.col("salts"), F.lit(1))
     dealt = suspects.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("holder", "sub"), salts).cast("int"))
     every = owners.join(hot, "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
