@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, ship
 
-#: Largest graph whose centralities are computed on the driver; larger ones go source by source on the executors.
-DRIVER_EDGES = 1_000_000
+#: Edges of the largest graph whose centralities are computed on the driver; of the largest that every executor holds, each
+#: taking some sources; and (source, node) pairs of a block of sources in larger graphs, which stay tables.
+DRIVER_EDGES, SHARED_EDGES, BLOCK_PAIRS = 10_000, 1_000_000, 100_000_000
 
 
 def active_lines(df: DataFrame, active_only: bool = True) -> DataFrame:
@@ -61,7 +62,7 @@ def pagerank(graph: DataFrame, damping: float = 0.85, iterations: int = 20) -> D
     """(node, pagerank) after a fixed number of rounds from the uniform distribution."""
     links = checkpointed(both_ways(graph).join(degrees(graph).select(F.col("node").alias("src"), "node_degree"), "src"))
     ranks = checkpointed(nodes(graph))
-    n = ranks.count()
+    n = max(1, ranks.count())
     ranks = ranks.withColumn("pagerank", F.lit(1.0 / n))
     for i in range(iterations):
         got = links.join(ranks, links["src"] == ranks["node"]).groupBy(links["dst"].alias("node")).agg(F.sum(F.col("pagerank") / F.col("node_degree")).alias("got"))
@@ -123,23 +124,28 @@ def _from_source(near: list[list[int]], s: int) -> tuple[np.ndarray, dict[tuple[
     return dep, on_edge, distance
 
 
+def _ends(near: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(near)), [len(a) for a in near]), np.array([b for a in near for b in a], int)
+
+
 def _eigenvector(near: list[list[int]], rounds: int = 1000, tolerance: float = 1e-6) -> np.ndarray:
-    x = np.full(len(near), 1 / max(1, len(near)))
+    (src, dst), n = _ends(near), len(near)
+    x = np.full(n, 1 / max(1, n))
     for _ in range(rounds):
-        y = x + np.array([x[a].sum() for a in near])
+        y = x + np.bincount(src, x[dst], n)
         y /= np.linalg.norm(y) or 1.0
-        if np.abs(y - x).sum() < len(near) * tolerance:
+        if np.abs(y - x).sum() < n * tolerance:
             return y
         x = y
-    return np.full(len(near), np.nan)
+    return np.full(n, np.nan)
 
 
 def _pagerank(near: list[list[int]], damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    n = len(near)
+    (src, dst), n = _ends(near), len(near)
     x, out = np.full(n, 1 / max(1, n)), np.array([len(a) for a in near], float)
     for _ in range(rounds):
         give = np.divide(x, out, out=np.zeros(n), where=out > 0)
-        y = damping * (np.array([give[a].sum() for a in near]) + x[out == 0].sum() / n) + (1 - damping) / n
+        y = damping * (np.bincount(src, give[dst], n) + x[out == 0].sum() / n) + (1 - damping) / n
         if np.abs(y - x).sum() < n * tolerance:
             return y
         x = y
@@ -183,43 +189,130 @@ def _on_executors(spark: SparkSession, near: list[list[int]]) -> tuple[np.ndarra
     return between, close, on_edge
 
 
-def centralities(pairs: list[tuple[int, int]], more: list[int] = (), spark: SparkSession | None = None) -> tuple[dict[int, dict[str, float]], dict[tuple[int, int], float]]:
+def centralities(pairs: list[tuple[int, int]], more: list[int] = (), spark: SparkSession | None = None, tolerance: float = 1e-6) -> tuple[dict[int, dict[str, float]], dict[tuple[int, int], float]]:
     """Centralities of nodes, and edge betweenness; the paths from each source on the executors if spark is given."""
     names, near = _adjacency(pairs, more)
     n = len(names)
+    if not n:
+        return {}, {}
     between, close, on_edge = _on_executors(spark, near) if spark else _from_sources(near, range(n))
-    eigen, rank = _eigenvector([np.array(a, int) for a in near]), _pagerank([np.array(a, int) for a in near])
+    eigen, rank = _eigenvector(near, tolerance=tolerance), _pagerank(near)
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    of = {x: {"node_degree": len(near[i]), "betweenness_centrality": float(between[i] * scale), "closeness_centrality": float(close[i]), "eigenvector_centrality": float(eigen[i]), "pagerank": float(rank[i])} for i, x in enumerate(names)}
+    of = {x: {"betweenness_centrality": float(between[i] * scale), "closeness_centrality": float(close[i]), "eigenvector_centrality": float(eigen[i]), "pagerank": float(rank[i])} for i, x in enumerate(names)}
     return of, {(names[a], names[b]): v / (n * (n - 1)) for (a, b), v in on_edge.items()}
 
 
-def _centralities_of(graph: DataFrame, more: list[int] = ()) -> tuple[dict[int, dict[str, float]], dict[tuple[int, int], float]]:
+def path_levels(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """(s, v, paths) of the nodes v at 0, 1, 2 .. steps from each source, and how many shortest paths lead there."""
+    levels = [checkpointed(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))]
+    last = levels[0].limit(0)
+    while True:
+        front = levels[-1]
+        near = front.join(links, front["v"] == links["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        step = checkpointed(near.join(front.select("s", "v").union(last.select("s", "v")), ["s", "v"], "left_anti"))
+        if step.isEmpty():
+            return levels
+        last = front
+        levels.append(step)
+
+
+def path_shares(graph: DataFrame, more: list[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """(node, share) and (src, dst, share): the shares of shortest paths over nodes and edges, summed over all pairs of ends, for
+    a graph of any size: sources go in blocks, levels of paths are tables, and shares go back level by level."""
+    spark, links, ids = graph.sparkSession, checkpointed(both_ways(graph)), checkpointed(_all_nodes(graph, more))
+    blocks = max(1, -(-ids.count() ** 2 // BLOCK_PAIRS))
+    on_node, on_edge = spark.createDataFrame([], "node long, share double"), spark.createDataFrame([], "src long, dst long, share double")
+    for block in range(blocks):
+        levels = path_levels(links, ids.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block))
+        dep = levels[-1].withColumn("dep", F.lit(0.0))
+        for before in reversed(levels[:-1]):
+            on_node = checkpointed(on_node.union(dep.select("v", "dep")).groupBy("node").agg(F.sum("share").alias("share")))
+            back = dep.join(links, dep["v"] == links["src"]).select("s", F.col("v").alias("w"), F.col("dst").alias("v"), ((1 + F.col("dep")) / F.col("paths")).alias("each"))
+            shares = checkpointed(back.join(before, ["s", "v"]).select("s", "v", "w", (F.col("paths") * F.col("each")).alias("share")))
+            on_edge = checkpointed(on_edge.union(shares.select(F.least("v", "w"), F.greatest("v", "w"), "share")).groupBy("src", "dst").agg(F.sum("share").alias("share")))
+            dep = checkpointed(before.join(shares.groupBy("s", "v").agg(F.sum("share").alias("dep")), ["s", "v"], "left").select("s", "v", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")))
+    return on_node, on_edge
+
+
+def eigenvector(graph: DataFrame, more: list[int] = (), rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """(node, eigenvector_centrality) by power iteration over tables; null if it doesn't converge."""
+    links, ids = checkpointed(both_ways(graph)), checkpointed(_all_nodes(graph, more))
+    n = ids.count()
+    x = ids.withColumn("x", F.lit(1.0 / max(1, n)))
+    for _ in range(rounds):
+        got = links.join(x, links["dst"] == x["node"]).groupBy(links["src"].alias("node")).agg(F.sum("x").alias("got"))
+        y = checkpointed(x.join(got, "node", "left").select("node", "x", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("y")))
+        norm = (y.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 1.0) ** 0.5
+        off = y.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0] or 0.0
+        x = y.select("node", (F.col("y") / norm).alias("x"))
+        if off < n * tolerance or not n:
+            return x.withColumnRenamed("x", "eigenvector_centrality")
+    return ids.withColumn("eigenvector_centrality", F.lit(None).cast("double"))
+
+
+def _converged_pagerank(graph: DataFrame, more: list[int], damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    ids = checkpointed(degrees(graph, _all_nodes(graph, more)).select("node", "node_degree"))
+    links, n = checkpointed(both_ways(graph)), ids.count()
+    x = ids.withColumn("x", F.lit(1.0 / max(1, n)))
+    for _ in range(rounds):
+        loose = x.agg(F.sum(F.when(F.col("node_degree") == 0, F.col("x")))).first()[0] or 0.0
+        got = links.join(x, links["src"] == x["node"]).groupBy(links["dst"].alias("node")).agg(F.sum(F.col("x") / F.col("node_degree")).alias("got"))
+        y = checkpointed(x.join(got, "node", "left").select("node", "node_degree", "x", (damping * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - damping) / n).alias("y")))
+        off = y.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0] or 0.0
+        x = y.select("node", "node_degree", F.col("y").alias("x"))
+        if off < n * tolerance:
+            break
+    return x.select("node", F.col("x").alias("pagerank"))
+
+
+def _all_nodes(graph: DataFrame, more: list[int]) -> DataFrame:
+    return nodes(graph, graph.sparkSession.createDataFrame([(int(x),) for x in more], "node long"))
+
+
+def _small(graph: DataFrame, more: list[int], tolerance: float = 1e-6):
+    """centralities() of a graph that fits an executor, or None."""
+    n = graph.count()
+    if n > SHARED_EDGES:
+        return None
     pairs = [(r["src"], r["dst"]) for r in graph.select("src", "dst").toLocalIterator()]
-    return centralities(pairs, more, graph.sparkSession if len(pairs) > DRIVER_EDGES else None)
+    return centralities(pairs, more, graph.sparkSession if n > DRIVER_EDGES else None, tolerance)
+
+
+NODE_CENTRALITIES = ("betweenness_centrality", "closeness_centrality", "eigenvector_centrality", "pagerank")
 
 
-def node_features(graph: DataFrame, more: list[int] = ()) -> DataFrame:
-    """All node centralities. The driver holds the edges; over DRIVER_EDGES of them, the executors do the work of each source."""
+def node_features(graph: DataFrame, more: list[int] = (), tolerance: float = 1e-6) -> DataFrame:
+    """All node centralities. A graph of up to DRIVER_EDGES edges is on the driver, of up to SHARED_EDGES on each executor, a
+    larger one in tables; the values are the same."""
     spark: SparkSession = graph.sparkSession
-    of, _ = _centralities_of(graph, more)
-    found = spark.createDataFrame([(k, *(float(x) for x in list(v.values())[1:])) for k, v in of.items()], "node long, betweenness_centrality double, closeness_centrality double, eigenvector_centrality double, pagerank double")
+    small = _small(graph, more, tolerance)
+    if small is None:
+        shares, ids = path_shares(graph, more)[0], checkpointed(_all_nodes(graph, more))
+        n = ids.count()
+        between = ids.join(shares, "node", "left").select("node", (F.coalesce("share", F.lit(0.0)) / max(1, (n - 1) * (n - 2))).alias("betweenness_centrality"))
+        found = between.join(closeness(graph, more), "node").join(eigenvector(graph, more, tolerance=tolerance), "node").join(_converged_pagerank(graph, more), "node")
+    else:
+        found = spark.createDataFrame([(k, *(v[c] for c in NODE_CENTRALITIES)) for k, v in small[0].items()], "node long, " + ", ".join(f"{c} double" for c in NODE_CENTRALITIES))
     return degrees(graph, found).join(found, "node").join(clustering(graph), "node", "left").withColumn("local_clustering_coefficient", F.coalesce("local_clustering_coefficient", F.lit(0.0)))
 
 
 def edge_features(graph: DataFrame) -> DataFrame:
     """(src, dst, degrees of both ends, edge_betweenness_centrality)."""
     spark: SparkSession = graph.sparkSession
-    _, on_edge = _centralities_of(graph)
-    between = spark.createDataFrame([(a, b, float(v)) for (a, b), v in on_edge.items()], "src long, dst long, edge_betweenness_centrality double")
+    small = _small(graph, [])
+    if small is None:
+        n = nodes(graph).count()
+        between = path_shares(graph)[1].select("src", "dst", (F.col("share") / (n * (n - 1))).alias("edge_betweenness_centrality"))
+    else:
+        between = spark.createDataFrame([(a, b, float(v)) for (a, b), v in small[1].items()], "src long, dst long, edge_betweenness_centrality double")
     d = degrees(graph).select("node", "node_degree")
     return graph.join(d.select(F.col("node").alias("src"), F.col("node_degree").alias("from_bus_degree")), "src").join(d.select(F.col("node").alias("dst"), F.col("node_degree").alias("to_bus_degree")), "dst").join(between, ["src", "dst"]).select("src", "dst", "from_bus_degree", "to_bus_degree", "edge_betweenness_centrality")
 
 
-def closeness(graph: DataFrame) -> DataFrame:
+def closeness(graph: DataFrame, more: list[int] = ()) -> DataFrame:
     """(node, closeness_centrality) by breadth-first rounds over (source, node) pairs, on the executors, until no pair is new. A
     neighbour of the last round's front is new unless it is in that front or the one before."""
-    links, ids = checkpointed(both_ways(graph)), checkpointed(nodes(graph))
+    links, ids = checkpointed(both_ways(graph)), checkpointed(_all_nodes(graph, more))
     n = ids.count()
     front = ids.select(F.col("node").alias("s"), F.col("node").alias("v"))
     last = front.limit(0)
