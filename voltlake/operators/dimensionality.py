@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,15 @@ def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_pca(df: DataFrame, columns: list[str]):
-    """(model, standardised rows with `vector`). Rows with a missing value are left out."""
-    rows = VectorAssembler(inputCols=columns, outputCol="__v").transform(_complete(df, columns))
-    scaler = StandardScaler(inputCol="__v", outputCol="vector", withMean=True, withStd=True).fit(rows)
-    rows = scaler.transform(rows).drop("__v")
+    """(model, rows with the standardised `vector`). Columns are divided by the spread of the population, constant ones by 1.
+    Rows with a missing value are left out."""
+    rows = _complete(df, columns)
+    found = rows.agg(*(f(c).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if found["m_0"] is None:
+        raise ValueError("no row without a missing value")
+    spread = [found[f"s_{i}"] if found[f"s_{i}"] > 1e-12 else 1.0 for i in range(len(columns))]
+    rows = rows.withColumns({f"__z{i}": (F.col(c) - found[f"m_{i}"]) / spread[i] for i, c in enumerate(columns)})
+    rows = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(columns))], outputCol="vector").transform(rows).drop(*(f"__z{i}" for i in range(len(columns))))
     return PCA(k=len(columns), inputCol="vector", outputCol="components").fit(rows), rows
 
 

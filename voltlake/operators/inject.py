@@ -29,7 +29,8 @@ def update(df: DataFrame, entity: str, entity_id: int, timestamp: str, first, la
 
 @dataclass
 class Injector:
-    """Keeps the events of what it injected, with ids from 0."""
+    """Keeps the events of what it injected, with ids from 0. A power spike is recorded under the first of its columns (active
+    power), a line overload under the last (loading)."""
 
     timestamp: str = "timestamp"
     bus: str = "bus_id"
@@ -48,13 +49,13 @@ class Injector:
         return self._add(df, "voltage_deviation", "bus", bus_id, start, steps, abs(deviation), {column: F.col(column) - deviation}, column)
 
     def power_spike(self, df: DataFrame, bus_id: int, start: datetime, steps: int, multiplier: float, columns=("active_power_mw", "reactive_power_mvar")) -> DataFrame:
-        return self._add(df, "power_spike", "bus", bus_id, start, steps, abs(multiplier - 1), {c: F.col(c) * multiplier for c in columns}, ",".join(columns))
+        return self._add(df, "power_spike", "bus", bus_id, start, steps, abs(multiplier - 1), {c: F.col(c) * multiplier for c in columns}, columns[0])
 
     def sensor_spike(self, df: DataFrame, bus_id: int, start: datetime, magnitude: float, column: str = "voltage_pu") -> DataFrame:
         return self._add(df, "sensor_spike", "bus", bus_id, start, 1, abs(magnitude), {column: F.col(column) + magnitude}, column)
 
     def line_overload(self, df: DataFrame, line_id: int, start: datetime, steps: int, multiplier: float, columns=("current_from_ka", "current_to_ka", "loading_percent")) -> DataFrame:
-        return self._add(df, "line_overload", "line", line_id, start, steps, abs(multiplier - 1), {c: F.col(c) * multiplier for c in columns}, ",".join(columns))
+        return self._add(df, "line_overload", "line", line_id, start, steps, abs(multiplier - 1), {c: F.col(c) * multiplier for c in columns}, columns[-1])
 
     def ground_truth(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.events, EVENT_SCHEMA)
