@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import require_columns
+from ..functions import require_columns, seconds
 
+#: Buckets of time that an event is in at most.
+SPANS = 16
 EVENT_COLUMNS = ("event_id", "anomaly_type", "entity_type", "entity_id", "start_timestamp", "end_timestamp", "severity", "affected_measurement")
 
 
@@ -21,16 +23,36 @@ def check_events(events: DataFrame) -> DataFrame:
 
 def label(df: DataFrame, events: DataFrame, entity: str, timestamp: str, entity_type: str | None = None, order: str = "event_id") -> DataFrame:
     """df with is_anomaly, anomaly_event_id, anomaly_type, anomaly_severity and affected_measurement. A row is of the event of its
-    entity whose closed interval holds it; of several the last by `order`. The events of an entity meet as one sorted array,
-    so that a row is neither multiplied nor shuffled twice."""
+    entity whose closed interval holds it; of several the last by `order`. Times are cut into buckets of equal length, as
+    long as the events are on average; an event is in each bucket that it touches, up to SPANS of them, a longer one in
+    buckets of a coarser cut (SPANS times as long, and so on), so that the events that meet a row are those of its buckets
+    and no entity's events are one row."""
     rows = events if entity_type is None else events.where(F.col("entity_type") == entity_type)
-    e = rows.groupBy(F.col("entity_id").alias(entity)).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "event_id", "anomaly_type", "severity", "affected_measurement", F.col("start_timestamp").alias("a"), F.col("end_timestamp").alias("b"))), asc=False).alias("__events"))
-    hit = F.get(F.filter("__events", lambda x: F.col(timestamp).between(x["a"], x["b"])), F.lit(0))
-    out = df.join(e, entity, "left").withColumn("__e", hit)
+    a, b = seconds(F.col("start_timestamp")), seconds(F.col("end_timestamp"))
+    mean, longest = rows.agg(F.avg(b - a), F.max(b - a)).first()
+    base = max(1.0, float(mean or 0.0))
+    levels = 1
+    while base * SPANS ** (levels - 1) * (SPANS - 1) < (longest or 0.0):
+        levels += 1
+    # the level whose buckets the event touches SPANS of at most
+    level = F.lit(levels - 1)
+    for k in reversed(range(levels - 1)):
+        level = F.when(b - a <= base * SPANS**k * (SPANS - 1), F.lit(k)).otherwise(level)
+    width = F.lit(base) * F.pow(F.lit(float(SPANS)), F.col("__level"))
+    touched = F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
+    e = rows.where(a.isNotNull() & (b >= a)).withColumn("__level", level).withColumn("__bucket", touched)
+    e = e.groupBy(F.col("entity_id").alias(entity), "__level", "__bucket").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "event_id", "anomaly_type", "severity", "affected_measurement", F.col("start_timestamp").alias("a"), F.col("end_timestamp").alias("b"))), asc=False).alias("__events"))
+    out, hits = df, []
+    for k in range(levels):
+        own = e.where(F.col("__level") == k).select(entity, "__bucket", F.col("__events").alias(f"__events{k}"))
+        out = out.withColumn("__bucket", F.floor(seconds(F.col(timestamp)) / (base * SPANS**k))).join(own, [entity, "__bucket"], "left").drop("__bucket")
+        hits.append(F.get(F.filter(f"__events{k}", lambda x: F.col(timestamp).between(x["a"], x["b"])), F.lit(0)))
+    found = F.get(F.sort_array(F.filter(F.array(*hits), lambda x: x.isNotNull()), asc=False), F.lit(0))
+    out = out.withColumn("__e", found)
     return out.withColumns({
         "is_anomaly": F.col("__e").isNotNull().cast("int"), "anomaly_event_id": F.coalesce(F.col("__e.event_id").cast("long"), F.lit(-1)), "anomaly_type": F.coalesce("__e.anomaly_type", F.lit("normal")),
         "anomaly_severity": F.coalesce("__e.severity", F.lit(0.0)), "affected_measurement": F.coalesce("__e.affected_measurement", F.lit("")),
-    }).drop("__events", "__e")
+    }).drop(*(f"__events{k}" for k in range(levels)), "__e").select(*df.columns, "is_anomaly", "anomaly_event_id", "anomaly_type", "anomaly_severity", "affected_measurement")
 
 
 def event_summary(labelled: DataFrame, entity: str, timestamp: str) -> DataFrame:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric, seconds
@@ -41,44 +42,56 @@ def sampling_interval(df: DataFrame, timestamp: str, entity: list[str] | None =
     return rows.select(*keys, step.alias("step")).where("step > 0").groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("interval_seconds"))
 
 
-def _spectrum_arrays(values: np.ndarray, interval: float) -> tuple[np.ndarray, np.ndarray]:
-    """(cycles per hour, power) without the constant bin, of a de-meaned series under a symmetric Hann window."""
-    n = len(values)
-    x = (values - values.mean()) * (0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / (n - 1)))
-    return np.fft.rfftfreq(n, interval)[1:] * 3600, np.abs(np.fft.rfft(x))[1:] ** 2
+def features_of(windows: list[np.ndarray], intervals: np.ndarray, config: SpectralConfig = SpectralConfig()) -> np.ndarray:
+    """A row of FEATURES for each window, NaN where there are too few values or no power. A window is de-meaned, shaped by a
+    symmetric Hann window and transformed; windows of one length are one matrix."""
+    out, interval = np.full((len(windows), len(FEATURES)), np.nan), np.asarray(intervals, float)
+    sizes = np.array([len(w) for w in windows], int)
+    for n in np.unique(sizes[(sizes >= 4) & (interval > 0)]).tolist():
+        at = np.flatnonzero((sizes == n) & (interval > 0))
+        x = np.stack([windows[i] for i in at])
+        x = (x - x.mean(axis=1, keepdims=True)) * (0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / (n - 1)))
+        p = np.abs(np.fft.rfft(x, axis=1))[:, 1:] ** 2
+        f = np.arange(1, p.shape[1] + 1)[None, :] * (3600 / (n * interval[at]))[:, None]
+        total = p.sum(axis=1)
+        live = total > config.epsilon
+        at, p, f, total = at[live], p[live], f[live], total[live]
+        if not len(at):
+            continue
+        top = p.argmax(axis=1)[:, None]
+        centre = (f * p).sum(axis=1) / total
+        share = np.where(p > config.epsilon, p, 0.0)
+        share /= share.sum(axis=1, keepdims=True)
+        some = (share > 0).sum(axis=1)
+        entropy = -(share * np.log(np.where(share > 0, share, 1.0))).sum(axis=1)
+        entropy = np.divide(entropy, np.log(np.maximum(some, 2)), out=np.zeros(len(at)), where=some > 1)
+        low, high = np.where(f <= config.low_cph, p, 0.0).sum(axis=1), np.where(f >= config.high_cph, p, 0.0).sum(axis=1)
+        mid = p[:, 1:-1]
+        peaks = ((mid > p[:, :-2]) & (mid > p[:, 2:]) & (mid >= config.peak_share * p.max(axis=1, keepdims=True))).sum(axis=1)
+        best = np.take_along_axis(f, top, 1)[:, 0]
+        spread = np.sqrt((p * (f - centre[:, None]) ** 2).sum(axis=1) / total)
+        out[at] = np.stack([best, 1 / best, np.take_along_axis(p, top, 1)[:, 0], total, centre, spread, entropy, low, high, low / total, high / total, peaks], axis=1)
+    return out
 
 
 def window_features(values: np.ndarray, interval: float, config: SpectralConfig = SpectralConfig()) -> tuple | None:
     """FEATURES of a window; None where there are too few values or no power."""
-    values = values[np.isfinite(values)]
-    if len(values) < 4 or not interval or interval <= 0:
-        return None
-    f, p = _spectrum_arrays(values, interval)
-    total = float(p.sum())
-    if total <= config.epsilon:
-        return None
-    top = int(p.argmax())
-    centre = float((f * p).sum() / total)
-    share = p[p > config.epsilon] / p[p > config.epsilon].sum()
-    entropy = float(-(share * np.log(share)).sum() / math.log(len(share))) if len(share) > 1 else 0.0
-    low, high = float(p[f <= config.low_cph].sum()), float(p[f >= config.high_cph].sum())
-    peaks = int(((p[1:-1] > p[:-2]) & (p[1:-1] > p[2:]) & (p[1:-1] >= config.peak_share * p.max())).sum())
-    return float(f[top]), 1 / float(f[top]), float(p[top]), total, centre, math.sqrt(float((p * (f - centre) ** 2).sum() / total)), entropy, low, high, low / total, high / total, float(peaks)
+    row = features_of([values[np.isfinite(values)]], np.array([interval or 0.0]), config)[0]
+    return None if np.isnan(row[0]) else tuple(row.tolist())
 
 
 def rolling_features(df: DataFrame, signal: str, entity: list[str], timestamp: str, config: SpectralConfig = SpectralConfig()) -> DataFrame:
-    """df with FEATURES of the trailing window of each row. The window is an array over the entity's frame; Arrow batches of
-    arrays go through numpy, rows stay where they are."""
+    """df with FEATURES of the trailing window of each row. The window is an array over the entity's frame; an Arrow batch of
+    arrays is transformed at once, rows stay where they are."""
     schema = ", ".join(f"{c} double" for c in FEATURES)
     ship(df.sparkSession)
 
     @F.pandas_udf(schema)
     def features(window: pd.Series, interval: pd.Series) -> pd.DataFrame:
-        out = []
-        for w, i in zip(window, interval):
-            w = np.asarray(w, float)
-            out.append((window_features(w, i, config) if len(w) >= config.min_periods else None) or (None,) * len(FEATURES))
-        return pd.DataFrame(out, columns=list(FEATURES), dtype=float)
+        windows = [np.asarray(w, float) for w in window]
+        few = [len(w) < config.min_periods for w in windows]
+        out = features_of(windows, np.where(few, 0.0, interval.to_numpy(float)), config)
+        return pd.DataFrame(out, columns=list(FEATURES))
 
     frame = Window.partitionBy(*entity).orderBy(timestamp).rowsBetween(1 - config.window, 0)
     steps = sampling_interval(df, timestamp, entity)
@@ -87,13 +100,19 @@ def rolling_features(df: DataFrame, signal: str, entity: list[str], timestamp: s
 
 
 def dft(series: DataFrame, value: str, order: str, hann: bool = False) -> DataFrame:
-    """(n, k, re, im) of a short de-meaned series, k from 0 to n / 2: a join with the bins, declared as sums."""
-    by = Window.orderBy(order)
-    rows = series.select(F.col(value).alias("v"), (F.row_number().over(by) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"), F.avg(value).over(Window.partitionBy()).alias("m"))
-    shape: Column = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("i") / (F.col("n") - 1)) if hann else F.lit(1.0)
-    rows = rows.withColumn("x", (F.col("v") - F.col("m")) * shape).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))))
-    angle = 2 * math.pi * F.col("i") * F.col("k") / F.col("n")
-    return rows.groupBy("n", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(-F.col("x") * F.sin(angle)).alias("im"))
+    """(n, k, re, im) of a de-meaned series, k from 0 to n / 2. A system's series has one value a time, so that it fits one
+    task, where a fast transform takes n log n steps; missing values count as the mean."""
+    ship(series.sparkSession)
+
+    def transform(table: pa.Table) -> pa.Table:
+        x = table.sort_by("t")["x"].to_numpy(zero_copy_only=False).astype(float)
+        n = len(x)
+        x = np.nan_to_num(x - (np.nanmean(x) if np.isfinite(x).any() else 0.0))
+        found = np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / max(1, n - 1))) if hann else x)
+        return pa.table({"n": pa.array(np.full(len(found), n)), "k": pa.array(np.arange(len(found), dtype=np.int32)), "re": pa.array(found.real.copy()), "im": pa.array(found.imag.copy())})
+
+    rows = series.select(F.lit(0).alias("one"), F.col(order).alias("t"), F.col(value).cast("double").alias("x"))
+    return rows.groupBy("one").applyInArrow(transform, "n long, k int, re double, im double")
 
 
 def system_fft(series: DataFrame, value: str, order: str, interval_seconds: float) -> DataFrame:
