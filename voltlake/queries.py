@@ -348,11 +348,18 @@ def split_summary(s, d):
     return split.summarize(_split(s, d), "ts").withColumns({c: F.date_format(c, STAMP) for c in ("first", "last")})
 
 
-@query("SELECT 0::BIGINT AS leaks")
+@query(_SPLIT + " SELECT count(*) AS leaks FROM (SELECT ts FROM sp GROUP BY ts HAVING count(DISTINCT split) > 1)")
 def split_leakage(s, d):
     return split.leakage(_split(s, d), "ts").agg(F.count("*").alias("leaks"))
 
 
+@query("SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS t, splits FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS t, count(DISTINCT CASE WHEN event_id % 50 = 0 THEN 'test' ELSE 'train' END) AS splits FROM events GROUP BY 1) WHERE splits > 1")
+def split_leakage_found(s, d):
+    """The check on a split that leaks: rows were taken for the test by their id, not by time."""
+    rows = _events(s, d).select(_hour().alias("t"), F.when(F.col("event_id") % 50 == 0, "test").otherwise("train").alias("split"))
+    return split.leakage(rows, "t").withColumn("t", F.date_format("t", STAMP))
+
+
 _COLS = ("l_quantity", "l_extendedprice", "l_tax")
 _TRAIN = "l_orderkey % 5 < 3"
 
@@ -410,6 +417,17 @@ def select_transform_mean_fill(s, d):
     return _round(selection.fit(rows, list(_WIDE)).transform(rows, ["event_id"]))
 
 
+_HOLES = "SELECT event_id, value, CASE WHEN event_id % 10 <> 0 THEN (event_id % 89)::DOUBLE END AS hole, CASE WHEN event_id % 7 <> 0 THEN sqrt(abs(value)) * (event_id % 5) END AS other FROM events"
+
+
+@query(f"WITH w AS ({_HOLES}) SELECT event_id, {_r('value', 'value')}, {_r('coalesce(hole, avg(hole) OVER ())', 'hole')}, {_r('coalesce(other, avg(other) OVER ())', 'other')} FROM w")
+def select_transform_fills(s, d):
+    """Kept columns with nulls: the training mean takes their place."""
+    v, i = F.col("value"), F.col("event_id")
+    rows = _events(s, d).select("event_id", "value", F.when(i % 10 != 0, (i % 89).cast("double")).alias("hole"), F.when(i % 7 != 0, F.sqrt(F.abs(v)) * (i % 5)).alias("other"))
+    return _round(selection.fit(rows, ["value", "hole", "other"]).transform(rows, ["event_id"]))
+
+
 _SCORED = _SPLIT + ", th AS (SELECT quantile_cont(value, 0.95) AS c FROM sp WHERE split = 'validation')"
 
 
@@ -499,19 +517,29 @@ def connected_components(s, d):
     return graph.connected_components(_graph(s, d))
 
 
-@query()
+def _paths_sql(rounds: int = 12) -> str:
+    """All (s, v, steps d, shortest paths n), level by level."""
+    steps = [f"WITH {_BOTH}, v0 AS (SELECT node AS s, node AS v, 0 AS d, 1.0::DOUBLE AS n FROM deg)"]
+    for i in range(rounds):
+        seen = " UNION ALL ".join(f"SELECT s, v FROM v{j}" for j in range(max(0, i - 1), i + 1))
+        steps.append(f"v{i + 1} AS (SELECT x.s, b.dst AS v, {i + 1} AS d, sum(n) AS n FROM v{i} x JOIN bw b ON b.src = x.v ANTI JOIN ({seen}) y ON y.s = x.s AND y.v = b.dst GROUP BY 1, 2)")
+    return ", ".join(steps) + ", p AS (" + " UNION ALL ".join(f"SELECT * FROM v{i}" for i in range(rounds + 1)) + "), m AS (SELECT count(*) AS m FROM deg)"
+
+
+@query(_paths_sql() + f", b AS (SELECT x.v AS node, sum(x.n * y.n / z.n) AS b FROM p x JOIN p y ON x.v = y.s JOIN p z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY 1) SELECT deg.node, {_r('coalesce(b, 0) / ((m - 1) * (m - 2))', 'betweenness_centrality')} FROM deg LEFT JOIN b ON b.node = deg.node, m")
 def betweenness(s, d):
     return _round(graph.node_features(_graph(s, d)).select("node", "betweenness_centrality"))
 
 
-@query()
+@query(_paths_sql() + f", w AS (SELECT least(e.src, e.dst) AS src, greatest(e.src, e.dst) AS dst, sum(x.n * y.n / z.n) AS b FROM p x JOIN bw e ON e.src = x.v JOIN p y ON e.dst = y.s JOIN p z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d + 1 GROUP BY 1, 2) SELECT w.src, w.dst, f.k AS from_bus_degree, t.k AS to_bus_degree, {_r('b / (m * (m - 1))', 'edge_betweenness_centrality')} FROM w JOIN deg f ON f.node = w.src JOIN deg t ON t.node = w.dst, m")
 def edge_betweenness(s, d):
     return _round(graph.edge_features(_graph(s, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BOTH}, ids AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM deg), near AS (SELECT list(js ORDER BY i) AS near FROM (SELECT a.i, list(b.i ORDER BY b.i) AS js FROM bw JOIN ids a ON a.node = bw.src JOIN ids b ON b.node = bw.dst GROUP BY 1)), it(k, x) AS (SELECT 0, list_transform(near, lambda a: 1.0::DOUBLE / len(near)) FROM near UNION ALL SELECT k + 1, list_transform(y, lambda v: v / sqrt(list_sum(list_transform(y, lambda u: u * u)))) FROM (SELECT k, list_transform(range(1, len(x) + 1), lambda i: x[i] + list_sum(list_transform(near[i], lambda j: x[j]))) AS y FROM it, near WHERE k < 500)) SELECT node, {_r('x[i]', 'eigenvector_centrality')} FROM it, ids WHERE k = 500")
 def eigenvector_centrality(s, d):
-    return _round(graph.node_features(_graph(s, d)).select("node", "eigenvector_centrality"))
+    """To convergence: the reference's tolerance of 1e-6 a node would leave its trace in the sixth digit."""
+    return _round(graph.node_features(_graph(s, d), tolerance=1e-12).select("node", "eigenvector_centrality"))
 
 
 @query(f"WITH {_BOTH} SELECT c_custkey, c_nationkey, k AS node_degree, k::DOUBLE AS node_weighted_degree FROM customer LEFT JOIN deg ON deg.node = c_nationkey")
@@ -590,21 +618,35 @@ def event_summary(s, d):
 _RULES = quality.Rules("l_shipdate", "l_suppkey", ("l_quantity", "l_tax"), {"l_quantity": (2.0, 45.0), "l_tax": (0.0, None)}, None)
 
 
+#: lineitem with faults: missing values, ids and numbers that are words, and infinities.
+FAULTY = """SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate, CASE WHEN l_orderkey % 89 = 0 THEN 'S-' || l_suppkey WHEN l_orderkey % 101 = 0 THEN NULL ELSE l_suppkey::VARCHAR END AS l_suppkey,
+CASE WHEN l_orderkey % 83 = 0 THEN 'n/a' WHEN l_orderkey % 79 = 0 THEN 'Infinity' ELSE l_quantity::VARCHAR END AS l_quantity, CASE WHEN l_orderkey % 71 = 0 THEN NULL WHEN l_orderkey % 73 = 0 THEN '-Infinity'::DOUBLE WHEN l_orderkey % 67 = 0 THEN -l_tax ELSE l_tax END AS l_tax, nullif(l_returnflag, 'R') AS l_returnflag FROM lineitem"""
+
+
+def _faulty(s, d):
+    by = lambda n: F.col("l_orderkey") % n == 0
+    text = lambda c: F.col(c).cast("string")
+    return _t(s, d, "lineitem").select(
+        F.when(~by(97), F.col("l_shipdate")).alias("l_shipdate"), F.when(by(89), F.concat(F.lit("S-"), text("l_suppkey"))).when(by(101), None).otherwise(text("l_suppkey")).alias("l_suppkey"),
+        F.when(by(83), "n/a").when(by(79), "Infinity").otherwise(text("l_quantity")).alias("l_quantity"), F.when(by(71), None).when(by(73), float("-inf")).when(by(67), -F.col("l_tax")).otherwise(F.col("l_tax")).alias("l_tax"), F.nullif(F.col("l_returnflag"), F.lit("R")).alias("l_returnflag"),
+    )
+
+
 def _checks(name: str, prefix: str, sql: str):
     def f(s, d):
-        row = quality.counts(_t(s, d, "lineitem").select("l_shipdate", "l_suppkey", "l_quantity", "l_tax", "l_returnflag"), _RULES)
+        row = quality.counts(_faulty(s, d), _RULES)
         parts = [F.struct(F.lit(c.split(":")[1]).alias("column"), F.col(f"`{c}`").alias("count")) for c in row.columns if c.startswith(prefix)]
         return row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
     f.__name__ = f"validate_{name}"
-    query(sql)(f)
+    query(f"WITH faulty AS ({FAULTY}) {sql}")(f)
 
 
-_checks("missing", "missing", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS count FROM lineitem" for c in ("l_shipdate", "l_suppkey", "l_quantity", "l_tax", "l_returnflag")))
-_checks("ranges", "range", "SELECT 'l_quantity' AS \"column\", count(*) FILTER (l_quantity < 2 OR l_quantity > 45) AS count FROM lineitem UNION ALL SELECT 'l_tax', count(*) FILTER (l_tax < 0) FROM lineitem")
-_checks("numeric", "not_numeric", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NOT NULL AND try_cast({c} AS DOUBLE) IS NULL) AS count FROM lineitem" for c in ("l_quantity", "l_tax")))
-_checks("infinite", "infinite", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (isinf({c})) AS count FROM lineitem" for c in ("l_quantity", "l_tax")))
-_checks("ids", "id_", "SELECT 'l_suppkey' AS \"column\", count(*) FILTER (l_suppkey IS NULL) AS count FROM lineitem UNION ALL SELECT 'l_suppkey', count(*) FILTER (l_suppkey IS NOT NULL AND try_cast(l_suppkey AS DOUBLE) IS NULL) FROM lineitem")
+_checks("missing", "missing", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS count FROM faulty" for c in ("l_shipdate", "l_suppkey", "l_quantity", "l_tax", "l_returnflag")))
+_checks("ranges", "range", "SELECT 'l_quantity' AS \"column\", count(*) FILTER (try_cast(l_quantity AS DOUBLE) < 2 OR try_cast(l_quantity AS DOUBLE) > 45) AS count FROM faulty UNION ALL SELECT 'l_tax', count(*) FILTER (l_tax < 0) FROM faulty")
+_checks("numeric", "not_numeric", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NOT NULL AND try_cast({c} AS DOUBLE) IS NULL) AS count FROM faulty" for c in ("l_quantity", "l_tax")))
+_checks("infinite", "infinite", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (isinf(try_cast({c} AS DOUBLE))) AS count FROM faulty" for c in ("l_quantity", "l_tax")))
+_checks("ids", "id_", "SELECT 'l_suppkey' AS \"column\", count(*) FILTER (l_suppkey IS NULL) AS count FROM faulty UNION ALL SELECT 'l_suppkey', count(*) FILTER (l_suppkey IS NOT NULL AND try_cast(l_suppkey AS DOUBLE) IS NULL) FROM faulty")
 
 
 @query("SELECT coalesce(sum(n), 0)::BIGINT AS count FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
@@ -713,10 +755,27 @@ def spectral_entropy(s, d):
     return _round(spectral.series_features(_series(s, d), "value", "t", 86400.0).select("spectral_entropy"))
 
 
-@query()
+_ENERGIES = ("dominant_power", "total_spectral_energy", "low_frequency_energy", "high_frequency_energy")
+_SPECTRA_SQL = f"""WITH e AS (SELECT event_id, user_id, ts, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+st AS (SELECT user_id, quantile_cont(g, 0.5) AS step FROM (SELECT user_id, epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS g FROM (SELECT DISTINCT user_id, ts FROM events)) WHERE g > 0 GROUP BY 1),
+w AS (SELECT a.event_id, any_value(step) AS step, list(b.v ORDER BY b.i) AS x, count(b.v) AS n, avg(b.v) AS m FROM e a JOIN e b ON b.user_id = a.user_id AND b.i BETWEEN a.i - 95 AND a.i JOIN st ON st.user_id = a.user_id GROUP BY 1 HAVING count(b.v) >= 32),
+h AS (SELECT event_id, step, n, list_transform(x, lambda v, j: (v - m) * (0.5 - 0.5 * cos(2 * pi() * (j - 1) / (n - 1)))) AS x FROM w),
+c AS (SELECT n, k, list_transform(range(0, n), lambda j: cos(2 * pi() * ((j * k) % n) / n)) AS c, list_transform(range(0, n), lambda j: sin(2 * pi() * ((j * k) % n) / n)) AS s FROM (SELECT n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT n FROM h))),
+p AS (SELECT event_id, k, k * 3600 / (h.n * step) AS f, pow(list_dot_product(x, c), 2) + pow(list_dot_product(x, s), 2) AS p FROM h JOIN c ON c.n = h.n),
+q AS (SELECT *, lag(p) OVER o AS a, lead(p) OVER o AS b, sum(p) OVER t AS total, max(p) OVER t AS most, sum(f * p) OVER t / sum(p) OVER t AS centre, sum(p) FILTER (p > 1e-12) OVER t AS live FROM p WINDOW o AS (PARTITION BY event_id ORDER BY k), t AS (PARTITION BY event_id)),
+r AS (SELECT event_id, arg_max(f, p) AS f, max(p) AS p, any_value(total) AS total, any_value(centre) AS centre, sqrt(sum(p * pow(f - centre, 2)) / any_value(total)) AS spread,
+  CASE WHEN count(*) FILTER (p > 1e-12) > 1 THEN -sum(p / live * ln(p / live)) FILTER (p > 1e-12) / ln(count(*) FILTER (p > 1e-12)) ELSE 0 END AS entropy,
+  coalesce(sum(p) FILTER (f <= 1), 0) AS low, coalesce(sum(p) FILTER (f >= 2), 0) AS high, count(*) FILTER (p > a AND p > b AND p >= 0.1 * most) AS peaks FROM q WHERE total > 1e-12 GROUP BY 1)
+SELECT e.event_id, """ + ", ".join(_r(x, f"value_{c}", 1 if c in _ENERGIES else 6) for c, x in zip(spectral.FEATURES, ("r.f * (1 + 1e-9)", "(1 + 1e-9) / r.f", "r.p", "total", "centre", "spread", "entropy", "low", "high", "low / total", "high / total", "peaks"))) + " FROM e LEFT JOIN r ON r.event_id = e.event_id"
+
+
+@query(_SPECTRA_SQL)
 def rolling_spectral_features(s, d):
     rows = _events(s, d)
-    return _round(spectral.rolling_features(rows, "value", ["user_id"], "ts").drop("ts", "user_id", "value", "event_type"))
+    out = spectral.rolling_features(rows, "value", ["user_id"], "ts").drop("ts", "user_id", "value", "event_type")
+    # a hair off, as in the SQL: quotients of whole seconds can lie halfway between two roundings
+    off = {f"value_{c}": F.col(f"value_{c}") * (1 + 1e-9) for c in spectral.FEATURES[:2]}
+    return _round(out.withColumns({**off, **{f"value_{c}": F.round(f"value_{c}", 1) for c in _ENERGIES}}))
 
 
 # --- generators and models
@@ -752,7 +811,14 @@ def isolation_forest_scores(s, d):
     return _round(model.score(rows).drop(*_NUM))
 
 
-@query()
+_JACOBI = "WITH RECURSIVE c AS (SELECT [" + ", ".join("1.0::DOUBLE" if a == b else f"corr({a}, {b})" for a in _NUM for b in _NUM) + """] AS m FROM lineitem),
+it(k, m) AS (SELECT 0, m FROM c UNION ALL SELECT k + 1, list_transform(range(0, 16), lambda o: list_sum(list_transform(range(0, 16), lambda e: g[(e // 4) * 4 + o // 4 + 1] * m[e + 1] * g[(e % 4) * 4 + o % 4 + 1]))) FROM (
+  SELECT k, m, list_transform(range(0, 16), lambda e: CASE WHEN e // 4 = p AND e % 4 = p OR e // 4 = q AND e % 4 = q THEN c WHEN e // 4 = p AND e % 4 = q THEN c * t WHEN e // 4 = q AND e % 4 = p THEN -c * t WHEN e // 4 = e % 4 THEN 1.0 ELSE 0.0 END) AS g FROM (
+  SELECT *, 1 / sqrt(t * t + 1) AS c FROM (SELECT *, CASE WHEN abs(x) < 1e-15 THEN 0.0 ELSE (CASE WHEN y >= 0 THEN 1 ELSE -1 END) / (abs(y) + sqrt(y * y + 1)) END AS t FROM (
+  SELECT *, CASE WHEN abs(x) < 1e-15 THEN 0.0 ELSE (m[q * 5 + 1] - m[p * 5 + 1]) / (2 * x) END AS y FROM (SELECT *, m[p * 4 + q + 1] AS x FROM (SELECT k, m, [0, 0, 0, 1, 1, 2][k % 6 + 1] AS p, [1, 2, 3, 2, 3, 3][k % 6 + 1] AS q FROM it WHERE k < 60)))))))"""
+
+
+@query(_JACOBI + f" SELECT row_number() OVER (ORDER BY v DESC)::INT AS component, {_r('v / 4', 'explained_variance_ratio')}, {_r('sum(v) OVER (ORDER BY v DESC) / 4', 'cumulative')} FROM (SELECT unnest([m[1], m[6], m[11], m[16]]) AS v FROM it WHERE k = 60)")
 def pca_explained(s, d):
     return _round(dimensionality.explained(_t(s, d, "lineitem"), _NUM))
 
@@ -762,7 +828,50 @@ def tsne_embedding(s, d):
     return dimensionality.tsne(_t(s, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("k")), ["s_acctbal", "k"], ["s_suppkey"])
 
 
-@query()
+FEEDER = generate.Network([(0, 0, 1, 0.1, 0.05, 0.4), (1, 1, 2, 0.5, 0.25, 0.4), (2, 2, 3, 0.4, 0.2, 0.3), (3, 1, 4, 0.2, 0.2, 0.3)], {1: (0.1, 0.06), 2: (0.09, 0.04), 3: (0.12, 0.08), 4: (0.06, 0.03)}).with_solar(3, 0.05)
+BENCHMARK = generate.benchmark_network().with_solar(17, 0.5)
+
+
+def _flow_sql(net: generate.Network, rounds: int = 60) -> str:
+    """A radial network whose lines point away from bus 0: impedances by common path, then V = 1 - Z conj(S / V) again and again."""
+    lines = ", ".join(f"({x[0]}, {x[1]}, {x[2]}, {x[3] / net.kv**2!r}::DOUBLE, {x[4] / net.kv**2!r}::DOUBLE)" for x in net.in_service)
+    buses = ", ".join(f"({i}, {b}, {net.loads.get(b, (0.0, 0.0))[0]!r}::DOUBLE, {net.loads.get(b, (0.0, 0.0))[1]!r}::DOUBLE, {net.solar_mw if b == net.solar_bus else 0.0!r}::DOUBLE)" for i, b in enumerate(net.buses[1:], 1))
+    return f"""WITH RECURSIVE {_TIMES}, {_LOAD}, {_SUN}, prof AS (SELECT ld.ts, raw / (SELECT max(raw) FROM ld) AS lp, pu AS sp FROM ld JOIN sl ON sl.ts = ld.ts),
+ln(line_id, a, b, r, x) AS (VALUES {lines}), bus(i, b, p, q, solar) AS (VALUES {buses}),
+up(bus, node) AS (SELECT b, b FROM ln UNION ALL SELECT up.bus, ln.a FROM up JOIN ln ON ln.b = up.node WHERE ln.a <> 0),
+c AS (SELECT u.bus AS bi, w.bus AS bj, sum(r) AS r, sum(x) AS x FROM up u JOIN up w ON u.node = w.node JOIN ln ON ln.b = u.node GROUP BY 1, 2),
+z AS (SELECT list(zr ORDER BY i) AS zr, list(zx ORDER BY i) AS zx FROM (SELECT p.i, list(coalesce(c.r, 0) ORDER BY q.i) AS zr, list(coalesce(c.x, 0) ORDER BY q.i) AS zx FROM bus p CROSS JOIN bus q LEFT JOIN c ON c.bi = p.b AND c.bj = q.b GROUP BY 1)),
+s AS (SELECT ts, list(p * lp - solar * sp ORDER BY i) AS p, list(q * lp ORDER BY i) AS q FROM bus, prof GROUP BY 1),
+it(ts, k, re, im) AS (SELECT ts, 0, list_transform(p, lambda v: 1.0::DOUBLE), list_transform(p, lambda v: 0.0::DOUBLE) FROM s UNION ALL
+  SELECT ts, k + 1, list_transform(zr, lambda row, i: 1 - list_dot_product(row, cr) + list_dot_product(zx[i], ci)), list_transform(zr, lambda row, i: -list_dot_product(row, ci) - list_dot_product(zx[i], cr)) FROM (
+  SELECT it.ts, k, list_transform(re, lambda v, j: (p[j] * v + q[j] * im[j]) / (v * v + im[j] * im[j])) AS cr, list_transform(re, lambda v, j: (p[j] * im[j] - q[j] * v) / (v * v + im[j] * im[j])) AS ci FROM it JOIN s ON s.ts = it.ts WHERE k < {rounds}), z),
+v AS (SELECT it.ts, re, im, p, q FROM it JOIN s ON s.ts = it.ts WHERE k = {rounds}),
+out AS (SELECT ts, bus.b AS bus_id, sqrt(re[i] * re[i] + im[i] * im[i]) AS u, degrees(atan2(im[i], re[i])) AS a, v.p[i] AS p, v.q[i] AS q FROM v, bus
+  UNION ALL SELECT ts, 0, 1.0, 0.0, -list_sum(list_transform(re, lambda x, j: (p[j] * x + q[j] * im[j]) / (x * x + im[j] * im[j]))), list_sum(list_transform(re, lambda x, j: (p[j] * im[j] - q[j] * x) / (x * x + im[j] * im[j]))) FROM v)
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, bus_id::INT AS bus_id, {_r('u', 'voltage_pu')}, {_r('a', 'angle_deg')}, {_r('p', 'active_power_mw')}, {_r('q', 'reactive_power_mvar')} FROM out"""
+
+
+def _flow(s, net):
+    return _round(generate.power_flow(generate.profiles(_times(s)), net)[0].withColumn("timestamp", F.date_format("timestamp", STAMP)))
+
+
+@query(_flow_sql(FEEDER))
 def power_flow(s, d):
-    feeder = generate.Network([(0, 0, 1, 0.1, 0.05, 0.4), (1, 1, 2, 0.5, 0.25, 0.4), (2, 2, 3, 0.4, 0.2, 0.3), (3, 1, 4, 0.2, 0.2, 0.3)], {1: (0.1, 0.06), 2: (0.09, 0.04), 3: (0.12, 0.08), 4: (0.06, 0.03)}).with_solar(3, 0.05)
-    return _round(generate.power_flow(generate.profiles(_times(s)), feeder)[0].withColumn("timestamp", F.date_format("timestamp", STAMP)))
+    return _flow(s, FEEDER)
+
+
+@query(_flow_sql(BENCHMARK))
+def benchmark_power_flow(s, d):
+    """The 33-bus feeder with a solar plant at bus 17."""
+    return _flow(s, BENCHMARK)
+
+
+@query()
+def anomaly_scenario(s, d):
+    """The events of the scripted evening on the benchmark network's measurements, and how many rows each changes."""
+    bus, line = generate.power_flow(generate.profiles(_times(s)), BENCHMARK)
+    changed_bus, changed_line, events = inject.scenario(bus, line, datetime(2026, 1, 1))
+    marked = [labels.label(rows, labels.check_events(events), entity, "timestamp", kind) for rows, entity, kind in ((changed_bus, "bus_id", "bus"), (changed_line, "line_id", "line"))]
+    hit = marked[0].select("anomaly_event_id", "is_anomaly").union(marked[1].select("anomaly_event_id", "is_anomaly")).where("is_anomaly = 1").groupBy("anomaly_event_id").agg(F.count("*").alias("number_of_rows"))
+    stamps = {c: F.date_format(c, STAMP) for c in ("start_timestamp", "end_timestamp")}
+    return _round(events.join(hit, events["event_id"] == hit["anomaly_event_id"], "left").drop("anomaly_event_id").withColumns(stamps))
