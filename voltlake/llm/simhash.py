@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, read
 
 SHINGLE, SEED, RADIUS, TILE_ROWS, BLOCK = 4, 42, 4, 8192, 256
+#: Documents of one fingerprint that a task takes; more are split by salts.
+SALT_ROWS = 1 << 16
 NO_ID = (1 << 63) - 1
 
 
@@ -149,18 +151,23 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         before = now
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """id_col, `__fp` and component_id of each row of df: the smallest id within reach."""
     docs = cut(fingerprints(df, text_col, shingle, [id_col]), "fingerprints")
     holder = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    distinct = cut(docs.groupBy(F.col("__fp").alias("fp")).agg(F.min(holder).alias("first")), "distinct")
+    distinct = cut(docs.groupBy(F.col("__fp").alias("fp")).agg(F.min(holder).alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius, tile_rows))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     n = distinct.count()
     groups = cut(rooted, "rooted", n)
     least = groups.groupBy("root").agg(F.min("first").alias("least"))
-    named = cut(groups.join(least, "root").select(F.col("fp").alias("__fp"), F.nullif("least", F.lit(NO_ID)).alias("component_id")), "components", n)
-    return docs.join(named, "__fp").select(id_col, "__fp", "component_id")
+    named = cut(groups.join(least, "root").select(F.col("fp").alias("__fp"), "n", F.nullif("least", F.lit(NO_ID)).alias("component_id")), "components", n)
+    # fingerprints of very many documents, few by their number, are split, and each part meets a copy of the name
+    hot = named.where(F.col("n") > salt_rows).select("__fp", F.ceil(F.col("n") / salt_rows).cast("int").alias("__salts"))
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    dealt = docs.join(hot, "__fp", "left").withColumn("__salt", F.pmod(F.xxhash64(id_col), salts).cast("int"))
+    every = named.join(hot, "__fp", "left").select("__fp", "component_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+    return dealt.join(every, ["__fp", "__salt"]).select(id_col, "__fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
