@@ -26,7 +26,7 @@ def some(spark):
     rows = [(i, "\n".join(text(int(rng.integers(3, 40))) for _ in range(int(rng.integers(1, 6)))), "en", f"s{i % 3}", 0, 1, "x") for i in range(60)]
     shared = "A line that many documents share, as it is"
     rows += [(100 + i, f"{text(30)}\n  {shared.upper() if i % 2 else shared}\t\n{text(4)}", None, None, 0, 1, "x") for i in range(8)]
-    rows += [(200, rows[0][1], "en", "s0", 0, 1, "x"), (200, rows[0][1], "en", "s0", 0, 1, "x"), (201, None, None, None, None, None, None), (202, "", "de", "s1", 0, 1, "x"), (203, " \n\t", None, "s1", 0, 1, "x"), (None, text(20), "en", "s2", 0, 1, "x"), (204, text(5000), "en", "s2", 0, 1, "x")]
+    rows += [(200, rows[0][1], "en", "s0", 0, 1, "x"), (200, rows[0][1], "en", "s0", 0, 1, "x"), (201, None, None, None, None, None, None), (202, "", "de", "s1", 0, 1, "x"), (203, " \n\t", None, "s1", 0, 1, "x"), (None, text(20), "en", "s2", 0, 1, "x"), (204, text(5000), "en", "s2", 0, 1, "x"), (205, f"<|endoftext|>{text(9)}<|endoftext|> {text(3)}", "en", "s1", 0, 1, "x")]
     return rows
 
 
@@ -40,7 +40,6 @@ def test_packing(spark, some):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(packing.tokenize(docs(spark, some)), leaf_rows=8, fan=2).collect()
     ids = Counter()
     for r in some:
@@ -311,7 +310,6 @@ def test_pipeline(spark, some, tmp_path):
 
     # the mix, read off the packed pieces, and the pieces of all its copies
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     copies = Counter(r["doc_id"] for r in out if r["piece"] == 0)
     assert copies.keys() <= left.keys() and max(copies.values()) <= 3

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 import zlib
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: White space of all word definitions: space, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,9 +21,6 @@ GAP = r"[\x20\x09-\x0D]+"
 
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-_own: dict[str, str] = {}
-
-
 def map_arrow(df: DataFrame, run, schema: str, columns: list[str] | None = None) -> DataFrame:
     """df.mapInArrow, with this package at hand. columns: those of df that come before the schema's."""
     ship(df.sparkSession)
@@ -36,17 +32,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="voltlake-")
-    return _own[app]
-
-
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends, a lost executor costs nothing.
     rows: at most how many; a file holds 100,000 of them or so, not a few."""

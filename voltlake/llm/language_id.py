@@ -152,7 +152,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 df_counts[at] += 1
                 seen += 1
                 if lang.as_py() is not None:
-                    out.append((lang.as_py(), aside.as_py(), place.as_py(), at.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
+                    out.append((lang.as_py(), aside.as_py(), place.as_py(), at.astype("<u2").tobytes(), n.astype("<u4").tobytes()))
             kinds = (pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.binary()), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["part", "slice", "data", "lang", "aside", "at", "grams", "counts"])
         if seen:
@@ -166,7 +166,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     sample = sorted(found.where("lang is not null").select("lang", "aside", "at", "grams", "counts").collect(), key=lambda r: (r["at"], r["lang"], r["grams"]))
     train, aside = [], []
     for r in sample:
-        at, n = np.frombuffer(r["grams"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u2").astype(float)
+        at, n = np.frombuffer(r["grams"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(float)
         x = np.append(blank.features(at, n), 1.0)
         (aside if r["aside"] else train).append((np.append(at, DIM), x, langs.index(r["lang"])))
     weights = ftrl(train or aside, len(langs))
