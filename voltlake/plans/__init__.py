@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, electrical, forest, fuse, quality, rolling, scale, spectral, split, windows
@@ -46,3 +46,16 @@ def detect(features: DataFrame, keys: list[str], config: split.SplitConfig = spl
     scored = model.score(ready.select(*keys, "split", *chosen.features))
     cut = forest.threshold(scored.where("split = 'validation'"), q=q)
     return forest.predict(scored, cut), {"selector": chosen, "forest": model, "threshold": cut}
+
+
+def detection_summary(scored: DataFrame, fitted: dict, entity_type: str) -> DataFrame:
+    """A row for each split: its rows, mean score, anomalies and their share, and what was fitted."""
+    rows = forest.score_summary(scored)
+    more = {"entity_type": entity_type, "threshold": float(fitted["threshold"]), "features": len(fitted["selector"].features), "trees": len(fitted["forest"].trees), "sample": fitted["forest"].sample}
+    return rows.select("*", *(F.lit(v).alias(k) for k, v in more.items()))
+
+
+def selected_features(spark: SparkSession, selector: selection.SelectorModel) -> DataFrame:
+    """(feature, place, removed_by): the features in order, and those that were left out with the filter that did it."""
+    kept = [(c, i, None) for i, c in enumerate(selector.features)]
+    return spark.createDataFrame(kept + [(c, None, why) for why, columns in selector.removed.items() for c in columns], "feature string, place int, removed_by string")
