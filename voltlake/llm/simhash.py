@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, read
 
 SHINGLE, SEED, RADIUS, TILE_ROWS, BLOCK = 4, 42, 4, 8192, 256
+#: 64-bit words of a wide fingerprint.
+WIDE_WORDS = 8
 #: Documents of one fingerprint that a task takes; more are split by salts.
 SALT_ROWS = 1 << 16
 NO_ID = (1 << 63) - 1
@@ -179,6 +181,119 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return df.withColumn("__key", key).join(keep.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
+# --- near-duplicates by a likeness of shingle sets, for which 64 bits are too few
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def wide_simhash(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    """64 * words bits: those of `words` hashes derived from each hash, by majority over the set."""
+    total, steps = np.zeros(64 * words, np.int64), np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 2048):
+        x = hashes[at : at + 2048, None] + steps[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes)).view(np.uint64)
+
+
+def wide_radius(similarity: float, bits: int, sigmas: float = 3.0) -> tuple[float, int]:
+    """(share of bits in which two sets of that Jaccard likeness and equal size differ, a radius that few of them exceed)."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return share, int(np.ceil(bits * share + sigmas * np.sqrt(bits * share * (1 - share))))
+
+
+def nearest_forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (places in x) of a forest of least distances among wide fingerprints (n, words) within the radius."""
+    count = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    order = np.argsort(count, kind="stable")
+    x, count = x[order], count[order]
+    low, high = np.searchsorted(count, count - radius, "left"), np.searchsorted(count, count + radius, "right")
+    near = np.zeros(len(x), bool)
+    for a in range(0, len(x), BLOCK):
+        b = min(a + BLOCK, len(x))
+        off = sum(np.bitwise_count(x[a:b, None, k] ^ x[None, low[a] : high[b - 1], k]).astype(np.int16) for k in range(x.shape[1]))
+        near[a:b] = (off <= radius).sum(axis=1) > 1
+    x, order = x[near], order[near]
+    left, best, parent, links = np.ones(len(x), bool), np.full(len(x), radius + 1), np.zeros(len(x), int), []
+    for _ in range(len(x)):
+        i = int(np.where(left, best, 1 << 30).argmin())
+        if best[i] <= radius:
+            links.append((parent[i], i))
+        left[i] = False
+        off = np.bitwise_count(x ^ x[i]).sum(axis=1, dtype=np.int64)
+        closer = left & (off < best)
+        best[closer], parent[closer] = off[closer], i
+    pairs = np.array(links, int).reshape(-1, 2)
+    return order[pairs[:, 0]], order[pairs[:, 1]]
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, missed: float = 0.005, tile_rows: int = 1024) -> DataFrame:
+    """The rows of df whose id is the smallest of their group, one row of those with equal ids. Groups are what links of a
+    Jaccard likeness of shingle sets of `similarity` or more join. Candidates are near in wide fingerprints: distinct sets are
+    dealt to tiles by as many bands of sampled bits as leave a pair at that very likeness out with probability `missed`
+    (closer pairs: far less), a tile is compared exactly and gives a forest of its least distances, and each link is
+    confirmed on the sets. Texts of no words are alike; a null id counts as the largest."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
+            grams = [np.unique(h.astype(np.uint32)).tobytes() for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([wide_simhash(h).tobytes() for h in found], pa.binary()), pa.array(grams, pa.binary())], names=["holder", "sig", "wide", "grams"])
+
+    rows = map_arrow(df.select(key.alias("holder"), text_col), sets, "holder long, sig binary, wide binary, grams binary")
+    rows = cut(rows.withColumn("node", F.monotonically_increasing_id()), "sets")
+    distinct = cut(rows.groupBy("sig").agg(F.min("node").alias("node"), F.min("holder").alias("first"), F.first("wide").alias("wide")).drop("sig"), "distinct")
+    n, bits = distinct.count(), 64 * WIDE_WORDS
+    share, radius = wide_radius(similarity, bits)
+    width = min(24, max(1, int(np.ceil(np.log2(max(2, n) / tile_rows)))))
+    bands = int(np.ceil(np.log(missed) / np.log1p(-((1 - share) ** width))))
+    places = [np.random.default_rng(k).choice(bits, width, replace=False) for k in range(bands)]
+
+    def deal(batches):
+        for batch in batches:
+            flags = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+            for k, at in enumerate(places):
+                keys = flags[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int32)), pa.array(keys), *batch.columns], names=["band", "key", "node", "wide"])
+
+    dealt = map_arrow(distinct.select("node", "wide"), deal, "band int, key long, node long, wide binary")
+    large = dealt.groupBy("band", "key").count().where(F.col("count") > TILE_ROWS).select("band", "key", F.ceil(F.col("count") / (TILE_ROWS // 2)).cast("int").alias("salts"))
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    dealt = dealt.join(large, ["band", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), salts - 1), lambda o: F.struct(F.least("salt", o).alias("p"), F.greatest("salt", o).alias("q")))
+    tiles = dealt.select("band", "key", "node", "wide", F.explode(meets).alias("meet"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        a, b = nearest_forest(np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(len(node), -1), radius)
+        return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
+
+    links = cut(tiles.groupBy("band", "key", "meet").applyInArrow(compare, "a long, b long").distinct(), "links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = cut(rows.select("node", "grams").join(ends, "node", "left_semi"), "known")
+
+    def confirm(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], names=["a", "b"])
+
+    pairs = links.join(known.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    roots = components(map_arrow(pairs.select("a", "b", "x", "y"), confirm, "a long, b long"))
+    grouped = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("__key"))
+    keep = cut(grouped.select("__key").distinct(), "keep")
+    return df.withColumn("__key", key).join(keep.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
