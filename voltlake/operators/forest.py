@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import require_columns
 from ..session import ship
+from .quantiles import exact_quantiles
 
 
 def path_length(n: np.ndarray | float) -> np.ndarray:
@@ -125,7 +126,7 @@ def threshold(validation: DataFrame, score: str = "anomaly_score", q: float = 0.
     """The exact quantile, by linear interpolation, of validation scores."""
     if not 0 < q < 1:
         raise ValueError("q must be between 0 and 1")
-    return validation.agg(F.percentile(score, F.lit(q))).first()[0]
+    return exact_quantiles(validation, [score], [q])[score][0]
 
 
 def predict(scored: DataFrame, cut: float, score: str = "anomaly_score", name: str = "prediction") -> DataFrame:

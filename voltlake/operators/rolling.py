@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kurtosis_sample, numeric, require_columns, skew_sample
 from .ordered import over_order
+from .quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -46,10 +47,9 @@ def _rolling(df: DataFrame, by: WindowSpec, signals: list[str], config: RollingC
 
 
 def global_statistics(df: DataFrame, signals: list[str]) -> DataFrame:
-    """A row for each signal: count, mean, std, min, quartiles, max, variance, skewness, kurtosis. One pass."""
-    rows = []
+    """A row for each signal: count, mean, std, min, quartiles, max, variance, skewness, kurtosis."""
+    rows, found = [], exact_quantiles(df, signals, [0.25, 0.5, 0.75])
     for s in signals:
-        x = numeric(s)
-        q = F.percentile(x, [0.25, 0.5, 0.75])
+        x, q = numeric(s), [F.max(F.lit(v).cast("double")) for v in found[s]]
         rows.append(F.struct(F.lit(s).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max"), F.var_samp(x).alias("variance"), skew_sample(x).alias("skewness"), kurtosis_sample(x).alias("kurtosis")))
     return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import require_columns
+from .quantiles import exact_quantiles
 
 METHODS = ("standard", "minmax", "robust")
 #: Columns that are keys, flags or time features and are never scaled.
@@ -49,7 +50,8 @@ def numeric_columns(df: DataFrame, excluded=EXCLUDED) -> list[str]:
 
 
 def fit(train: DataFrame, method: str = "standard", columns: list[str] | None = None) -> ScalerModel:
-    """One aggregate over the training rows. Nulls and infinities are errors; a scale below 1e-12 becomes 1."""
+    """One aggregate over the training rows, and for 'robust' their exact quartiles. Nulls and infinities are errors; a scale
+    below 1e-12 becomes 1."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     columns = columns or numeric_columns(train)
@@ -57,13 +59,17 @@ def fit(train: DataFrame, method: str = "standard", columns: list[str] | None =
     of = []
     for c in columns:
         x = F.col(c).cast("double")
-        a, b = {"standard": (F.avg(x), F.stddev_pop(x)), "minmax": (F.min(x), F.max(x) - F.min(x))}.get(method, (F.percentile(x, F.lit(0.5)), F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))))
+        a, b = (F.min(x), F.max(x) - F.min(x)) if method == "minmax" else (F.avg(x), F.stddev_pop(x))
         of += [F.struct(a.alias("a"), b.alias("b"), F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias("bad"), F.count("*").alias("n")).alias(c)]
     row = train.agg(*of).first()
     for c in columns:
         if row[c]["bad"] or not row[c]["n"]:
             raise ValueError(f"{c} has {row[c]['bad']} missing or infinite values of {row[c]['n']}")
-    return ScalerModel(method, {c: row[c]["a"] for c in columns}, {c: row[c]["b"] if abs(row[c]["b"]) >= 1e-12 else 1.0 for c in columns})
+    center, spread = {c: row[c]["a"] for c in columns}, {c: row[c]["b"] for c in columns}
+    if method == "robust":
+        quartiles = exact_quantiles(train, columns, [0.25, 0.5, 0.75])
+        center, spread = {c: quartiles[c][1] for c in columns}, {c: quartiles[c][2] - quartiles[c][0] for c in columns}
+    return ScalerModel(method, center, {c: v if abs(v) >= 1e-12 else 1.0 for c, v in spread.items()})
 
 
 def fit_transform(train: DataFrame, method: str = "standard", columns: list[str] | None = None) -> tuple[ScalerModel, DataFrame]:

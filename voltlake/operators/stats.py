@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kurtosis_sample, numeric, seconds, skew_sample
 from .ordered import over_order
+from .quantiles import exact_quantiles
 
 AGGREGATIONS = {"mean": F.avg, "median": lambda x: F.percentile(x, F.lit(0.5)), "min": F.min, "max": F.max, "std": F.stddev_samp}
 
@@ -80,16 +81,21 @@ def rolling_mean_std(series: DataFrame, timestamp: str, value: str = "value", wi
     return rolled(series, Window.partitionBy(*entity).orderBy(timestamp)) if entity else over_order(series, [timestamp], window - 1, rolled)
 
 
+def _quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, q1, median, q3): a row for each named column."""
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "feature string, q1 double, median double, q3 double")
+
+
 def distribution_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column, with Tukey's outliers (strictly beyond 1.5 interquartile ranges): two passes."""
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), numeric(c).alias("x")) for c in columns))).alias("r")).select("r.*").where("x is not null")
-    x = F.col("x")
-    q = F.percentile(x, [0.25, 0.5, 0.75])
-    stats = rows.groupBy("feature").agg(F.count(x).alias("count"), F.avg(x).alias("mean"), q.alias("q"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), skew_sample(x).alias("skewness"), kurtosis_sample(x).alias("kurtosis"))
-    stats = stats.select("feature", "count", "mean", F.col("q")[1].alias("median"), "std", "min", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "max", "skewness", "kurtosis")
-    span = 1.5 * (F.col("q3") - F.col("q1"))
-    out = rows.join(F.broadcast(stats.select("feature", (F.col("q1") - span).alias("lo"), (F.col("q3") + span).alias("hi"))), "feature").groupBy("feature").agg(F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("outliers"))
-    return stats.join(F.broadcast(out), "feature").withColumn("outlier_fraction", F.col("outliers") / F.col("count"))  # a row for each named column
+    """A row for each column, with Tukey's outliers (strictly beyond 1.5 interquartile ranges)."""
+    found, rows = exact_quantiles(df, columns, [0.25, 0.5, 0.75]), []
+    for c in columns:
+        x, (q1, median, q3) = numeric(c), (F.lit(v).cast("double") for v in found[c])
+        span = 1.5 * (q3 - q1)
+        rows.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.max(median).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(q1).alias("q1"), F.max(q3).alias("q3"), F.max(x).alias("max"), skew_sample(x).alias("skewness"), kurtosis_sample(x).alias("kurtosis"), F.count_if(F.coalesce((x < q1 - span) | (x > q3 + span), F.lit(False))).alias("outliers")))
+    stats = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("count > 0")
+    return stats.withColumn("outlier_fraction", F.col("outliers") / F.col("count"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
@@ -106,6 +112,9 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 def box_plot(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     rows = df.select(*(by or []), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), numeric(c).alias("x")) for c in columns))).alias("r")).select(*(by or []), "r.*")
+    if not by:
+        ends = rows.groupBy("feature").agg(F.min("x").alias("min"), F.max("x").alias("max"))
+        return ends.join(F.broadcast(_quartiles(df, columns)), "feature").select("feature", "min", "q1", "median", "q3", "max")  # a row for each named column
     q = F.percentile("x", [0.25, 0.5, 0.75])
     return rows.groupBy(*(by or []), "feature").agg(F.min("x").alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("x").alias("max"))
 
