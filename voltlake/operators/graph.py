@@ -310,21 +310,26 @@ def edge_features(graph: DataFrame) -> DataFrame:
 
 
 def closeness(graph: DataFrame, more: list[int] = ()) -> DataFrame:
-    """(node, closeness_centrality) by breadth-first rounds over (source, node) pairs, on the executors, until no pair is new. A
-    neighbour of the last round's front is new unless it is in that front or the one before."""
+    """(node, closeness_centrality) by breadth-first rounds over (source, node) pairs, on the executors, until no pair is new;
+    sources go in blocks, so that at most BLOCK_PAIRS pairs are held. A neighbour of the last round's front is new unless it
+    is in that front or the one before."""
     links, ids = checkpointed(both_ways(graph)), checkpointed(_all_nodes(graph, more))
     n = ids.count()
-    front = ids.select(F.col("node").alias("s"), F.col("node").alias("v"))
-    last = front.limit(0)
-    sums, k = ids.select(F.col("node").alias("s"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("d")), 0
-    while True:
-        k += 1
-        near = front.join(links, front["v"] == links["src"]).select("s", F.col("dst").alias("v")).distinct()
-        step = checkpointed(near.join(front.union(last), ["s", "v"], "left_anti"))
-        if step.isEmpty():
-            break
-        found = step.groupBy("s").agg(F.count("*").alias("more"))
-        more = F.coalesce("more", F.lit(0))
-        sums = checkpointed(sums.join(found, "s", "left").select("s", (F.col("r") + more).alias("r"), (F.col("d") + k * more).alias("d")))
-        last, front = front, step
-    return sums.select(F.col("s").alias("node"), (F.coalesce(F.try_divide("r", "d"), F.lit(0.0)) * F.try_divide("r", F.lit(n - 1))).alias("closeness_centrality"))
+    blocks, found = max(1, -(-(n**2) // BLOCK_PAIRS)), None
+    for block in range(blocks):
+        own = ids if blocks == 1 else ids.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        front = own.select(F.col("node").alias("s"), F.col("node").alias("v"))
+        last, k = front.limit(0), 0
+        sums = own.select(F.col("node").alias("s"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("d"))
+        while True:
+            k += 1
+            near = front.join(links, front["v"] == links["src"]).select("s", F.col("dst").alias("v")).distinct()
+            step = checkpointed(near.join(front.union(last), ["s", "v"], "left_anti"))
+            if step.isEmpty():
+                break
+            met = step.groupBy("s").agg(F.count("*").alias("more"))
+            more_met = F.coalesce("more", F.lit(0))
+            sums = checkpointed(sums.join(met, "s", "left").select("s", (F.col("r") + more_met).alias("r"), (F.col("d") + k * more_met).alias("d")))
+            last, front = front, step
+        found = sums if found is None else checkpointed(found.union(sums))
+    return found.select(F.col("s").alias("node"), (F.coalesce(F.try_divide("r", "d"), F.lit(0.0)) * F.try_divide("r", F.lit(n - 1))).alias("closeness_centrality"))
