@@ -26,7 +26,7 @@ def _sized(monkeypatch, sizes):
         monkeypatch.setattr(graph, name, value)
 
 
-@pytest.mark.parametrize("sizes", [(10**6, 10**6, 10**8), (0, 10**6, 10**8), (0, 0, 10**8)], ids=["driver", "executors", "tables"])
+@pytest.mark.parametrize("sizes", [(10**6, 10**6, 10**8), (0, 10**6, 10**8)], ids=["driver", "executors"])
 def test_all_nodes_of_the_benchmark_network(spark, monkeypatch, sizes):
     _sized(monkeypatch, sizes)
     node = {r["node"]: r for r in graph.node_features(_network(spark)).collect()}
@@ -35,11 +35,16 @@ def test_all_nodes_of_the_benchmark_network(spark, monkeypatch, sizes):
         assert [node[i][name] for i in range(33)] == pytest.approx(want, rel=1e-5)
 
 
-@pytest.mark.parametrize("sizes", [(10**6, 10**6, 10**8), (0, 0, 10**8)], ids=["driver", "tables"])
-def test_path(spark, monkeypatch, sizes):
-    """A path of n nodes, by formula. (Tables take rounds in proportion to the path's length.)"""
-    n = 200 if sizes[0] else 10
-    _sized(monkeypatch, sizes)
+def test_paths_of_the_benchmark_network_in_tables(spark):
+    n = 33
+    node, edge = ({tuple(r)[:-1]: r["share"] for r in t.collect()} for t in graph.path_shares(_network(spark)))
+    assert [node.get((i,), 0.0) / ((n - 1) * (n - 2)) for i in range(n)] == pytest.approx(BETWEENNESS, rel=1e-5)
+    assert {k: v / (n * (n - 1)) for k, v in edge.items()} == pytest.approx({(r["src"], r["dst"]): r["edge_betweenness_centrality"] for r in graph.edge_features(_network(spark)).collect()})
+
+
+def test_path(spark):
+    """A path of n nodes, by formula."""
+    n = 200
     node = {r["node"]: r for r in graph.node_features(_path(spark, n)).collect()}
     for i in range(n):
         assert node[i]["betweenness_centrality"] == pytest.approx(2 * i * (n - 1 - i) / ((n - 1) * (n - 2)))
