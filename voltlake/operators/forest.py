@@ -23,10 +23,6 @@ def path_length(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-#: Rows whose places in all trees are held at once.
-CHUNK = 512
-
-
 @dataclass(frozen=True)
 class ForestModel:
     """Trees as arrays: feature (-1: leaf), cut, left, right and depth + correction of leaves."""
@@ -36,30 +32,28 @@ class ForestModel:
     sample: int
 
     @functools.cached_property
-    def _flat(self) -> tuple[np.ndarray, ...]:
-        """All trees as one array of nodes: roots, feature, cut, the two children, depth. A leaf is its own child."""
-        starts = np.cumsum([0, *(len(t["feature"]) for t in self.trees)])[:-1]
-        joined = {k: np.concatenate([t[k] for t in self.trees]) for k in ("feature", "cut", "depth")}
-        own, leaf = np.arange(len(joined["feature"])), joined["feature"] < 0
-        children = [np.where(leaf, own, np.concatenate([t[k] + at for t, at in zip(self.trees, starts)])) for k in ("left", "right")]
-        child = np.stack(children, axis=1).astype(np.int32).ravel()
-        return starts.astype(np.int32), np.where(leaf, 0, joined["feature"]).astype(np.int32), np.where(leaf, np.inf, joined["cut"]), child, joined["depth"]
+    def _steps(self) -> list[tuple]:
+        """Of each tree: feature, cut, both children in turn, depth, and its levels. A leaf is its own child."""
+        out = []
+        for t in self.trees:
+            leaf, own, levels, at = t["feature"] < 0, np.arange(len(t["feature"])), 0, np.zeros(1, int)
+            while (at := at[~leaf[at]]).size:
+                at, levels = np.concatenate([t["left"][at], t["right"][at]]), levels + 1
+            child = np.stack([np.where(leaf, own, t["left"]), np.where(leaf, own, t["right"])], axis=1).ravel()
+            out.append((np.where(leaf, 0, t["feature"]), np.where(leaf, np.inf, t["cut"]), child, t["depth"], levels))
+        return out
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
-        """2 ** (-E[depth] / c) - 0.5: the larger, the odder. All trees go down together, for some rows at a time."""
-        starts, feature, cut, child, depth = self._flat
-        x, total = np.ascontiguousarray(x, float), np.zeros(len(x))
-        for a in range(0, len(x), CHUNK):
-            own = x[a : a + CHUNK]
-            values, row = own.ravel(), (np.arange(len(own), dtype=np.int32) * x.shape[1])[None, :]
-            at = np.repeat(starts[:, None], len(own), axis=1)
-            while True:
-                right = values.take(row + feature.take(at)) > cut.take(at)
-                new = child.take(2 * at + right)
-                if np.array_equal(new, at):
-                    break
-                at = new
-            total[a : a + CHUNK] = depth.take(at).sum(axis=0)
+        """2 ** (-E[depth] / c) - 0.5: the larger, the odder. All rows go down a tree together, level by level, without a
+        look at which have arrived."""
+        n, total = len(x), np.zeros(len(x))
+        values, row = np.ascontiguousarray(np.asarray(x, float).T).ravel(), np.arange(n)
+        for feature, cut, child, depth, levels in self._steps if n else []:
+            column, at = feature * n, np.zeros(n, np.intp)
+            for _ in range(levels):
+                right = values.take(column.take(at, mode="clip") + row, mode="clip") > cut.take(at, mode="clip")
+                at = child.take(2 * at + right, mode="clip")
+            total += depth.take(at)
         return 2.0 ** (-total / len(self.trees) / max(float(path_length(self.sample)), 1e-12)) - 0.5
 
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
