@@ -4,10 +4,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from voltlake import queries
-from voltlake.operators import forest, graph, spectral
+from voltlake.operators import correlation, forest, graph, spectral
 
 DIR = Path("/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not DIR.exists(), reason="no test tables")
@@ -27,6 +28,41 @@ def test_correlation_between_all_users(spark):
         assert got[a, b] is None if np.isnan(want.loc[a, b]) else got[a, b] == pytest.approx(want.loc[a, b], abs=1e-5)
 
 
+def test_correlation_deals_no_cell_to_each_block(spark):
+    def written():
+        context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+        context.listenerBus().waitUntilEmpty()
+        none = gateway.jvm.java.util.ArrayList()
+        stages = context.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    n, times = 300, 12
+    df = spark.range(n * times).selectExpr("id % 300 as e", "id div 300 as t", "sin(id) as x")
+    before = written()
+    assert correlation.entity_correlation(df, "e", "t", "x", 8).count() == n * (n + 1) // 2
+    assert written() - before < 4 * n * times
+
+
+def test_correlation_without_a_time_or_entity_in_common(spark):
+    rows = [(1, "a", 1.0), (2, "a", 2.0), (2, "b", 4.0), (3, "b", 3.0), (4, "c", 5.0), (None, "a", 9.0), (None, "c", 9.0), (1, None, 9.0)]
+    for block in (256, 1):
+        got = correlation.entity_correlation(spark.createDataFrame(rows, "t int, e string, x double"), "e", "t", "x", block).collect()
+        assert sorted((r["entity_1"], r["entity_2"], r["r"] and round(r["r"], 9)) for r in got) == [("a", "a", 1.0), ("a", "b", None), ("b", "b", 1.0), ("c", "c", None)]
+
+
+def test_correlation_of_series_longer_than_a_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3, 50)) + 100
+    df = spark.createDataFrame([(t, e, float(x[e, t])) for e in range(3) for t in range(50)], "t int, e int, x double")
+    monkeypatch.setattr(correlation, "MATRIX_TIMES", 7)
+    pack = correlation._packed(df.toArrow().append_column("b", [[0] * 150]))["cells"][0].as_buffer()
+    cells = pa.ipc.open_stream(pack).read_all()
+    times = cells["t"].combine_chunks().dictionary
+    a = correlation._Pack(cells, times)
+    r, met = correlation._correlations(a, a, range(3), range(3), len(times))
+    assert met.all() and r == pytest.approx(np.corrcoef(x))
+
+
 def _path(spark, names):
     return graph.edges(spark.createDataFrame([(int(a), int(b)) for a, b in zip(names, names[1:])], "a long, b long"), ("a", "b"))
 
