@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltlake import queries
 from voltlake.operators import stats
 from voltlake.operators.ordered import over_order
 
@@ -30,6 +31,20 @@ def test_blocks_of_timestamps_and_texts(spark):
     assert over_order(df.limit(0), ["t"], 3, shifted).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [200_000, 17])
+def test_rolling_query_with_events_of_one_time(spark, tmp_path, monkeypatch, block_rows):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"copy (select i as event_id, timestamp '2024-01-01' + to_minutes(i % 50) as ts, i % 3 as user_id, 'view' as event_type, (i * 37 % 101)::double as value from range(300) t(i) order by i * 7919 % 300) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    sql = queries.ORACLE_SQL["rolling_stats_unpartitioned"].replace("ORDER BY ts", "ORDER BY ts, event_id")
+    monkeypatch.setattr(over_order, "__defaults__", (block_rows,))
+    got = queries.QUERIES["rolling_stats_unpartitioned"](spark, str(tmp_path)).toPandas().set_index("event_id").sort_index()
+    want = con.sql(sql).df().set_index("event_id").sort_index()
+    assert len(got) == 300
+    assert np.allclose(got.astype(float), want[list(got)].astype(float), atol=1e-5, equal_nan=True)
+
+
 def test_steps_of_a_series(spark):
     df = spark.createDataFrame([(0.0, 1.0), (10.0, 3.0), (40.0, 0.0)], "s double, value double").select(F.timestamp_seconds("s").alias("t"), "value")
     r = stats.temporal_statistics(df, "t").first()
